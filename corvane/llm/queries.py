@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.labels import ministry_matcher, office_matcher
 from corvane.llm.matching import collect_list, match_columns
+from corvane.llm.neardup import expand, near_duplicates
 from corvane.session import load
 
 
@@ -21,5 +22,14 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return asked.unionAll(drafted).distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of ids of one table whose texts share at least 0.6 of their sets of three successive words."""
+    tables = [
+        (load(spark, root, "parsed_questions"), "parsed_questions", "id", "texte_question"),
+        (load(spark, root, "reponses"), "reponses", "id", "texte_reponse"),
+    ]
+    return expand(*near_duplicates(tables, size=3, least=0.6))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
 SQL: dict[str, str] = {}
