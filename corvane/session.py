@@ -44,12 +44,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over at least as many partitions as the cluster has cores.
+    """``df`` over the cluster's cores where its scan would leave most of them idle.
 
-    A scan of a large table has enough splits and passes unchanged; only an input of a few
-    splits, which would leave cores idle in a Python stage, is shuffled.
+    A scan of a large table has enough splits and passes unchanged; only an input of fewer splits
+    than half the cores is shuffled before a Python stage.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
