@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corvane.llm.labels import ministry_matcher, office_matcher
 from corvane.llm.matching import collect_list, match_columns
 from corvane.llm.neardup import expand, near_duplicates
+from corvane.llm.vectors import similar_pairs
 from corvane.session import load
 
 
@@ -31,5 +33,14 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return expand(*near_duplicates(tables, size=3, least=0.6))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of vectors of one table, one among the other's five most similar, with a cosine of at least 0.9."""
+    found = [
+        similar_pairs(load(spark, root, f"vec_{name}s_opendata"), "id", "vector", dims=64, k=5, least=0.9).select(F.lit(name).alias("coll"), "id_a", "id_b")
+        for name in ("question", "answer")
+    ]
+    return found[0].unionAll(found[1])
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
 SQL: dict[str, str] = {}
