@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.labels import ministry_matcher, office_matcher
+from corvane.llm.leakage import leaks
 from corvane.llm.matching import collect_list, match_columns
 from corvane.llm.neardup import expand, near_duplicates
+from corvane.llm.tokens import token_ids
 from corvane.llm.vectors import similar_pairs
 from corvane.session import load
 
+#: Where the public vocabularies lie; every executor has them.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """The ministry, direction or office that each typed value means, -1 for none."""
@@ -42,5 +49,15 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return found[0].unionAll(found[1])
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """The token ids of every document by the byte-level vocabulary."""
+    return token_ids(load(spark, root, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """The evaluation items of which each document holds a run of at least twelve words."""
+    return leaks(load(spark, root, "documents"), load(spark, root, "eval_items"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
 SQL: dict[str, str] = {}
