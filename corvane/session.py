@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +55,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
+
+
+def process_cache() -> dict:
+    """A dictionary that lives as long as the Python process, for what tasks of one worker share."""
+    name = "_corvane_process_cache"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].kept = {}
+    return sys.modules[name].kept
