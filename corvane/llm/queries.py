@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.llm.labels import ministry_matcher, office_matcher
 from corvane.llm.leakage import leaks
 from corvane.llm.matching import collect_list, match_columns
+from corvane.llm.mojibake import restored
 from corvane.llm.neardup import expand, near_duplicates
 from corvane.llm.tokens import token_ids
 from corvane.llm.vectors import similar_pairs
@@ -59,5 +60,17 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(load(spark, root, "documents"), load(spark, root, "eval_items"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """The garbled documents and the MD5 of their original text."""
+    return restored(load(spark, root, "documents"))
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p10_found": p10_found,
+}
 SQL: dict[str, str] = {}
