@@ -113,11 +113,13 @@ def candidates(prints: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, prints: DataFrame, *, size: int, least: float) -> DataFrame:
     """Of the candidate classes those whose shingle sets have at least the similarity: ``a, b, jaccard``."""
-    asked = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    texts = prints.where("keys is not null").select("sig", "text").join(asked, "sig", "left_semi").groupBy("sig").agg(F.min("text").alias("text"))
-    both = pairs
-    for side in "ab":
-        both = both.join(texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}")), side)
+    # the texts move once, by class; then only those of candidates, by pair
+    sides = pairs.select(F.col("a").alias("sig"), "a", "b").union(pairs.select(F.col("b").alias("sig"), "a", "b"))
+    met = sides.join(prints.where("keys is not null").select("sig", "text"), "sig")
+    both = met.groupBy("a", "b").agg(
+        F.max(F.when(F.col("sig") == F.col("a"), F.col("text"))).alias("text_a"),
+        F.max(F.when(F.col("sig") == F.col("b"), F.col("text"))).alias("text_b"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
