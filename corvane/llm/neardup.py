@@ -36,6 +36,8 @@ EXPAND = 64
 CHECKS = 2
 #: Of the 32 check coordinates so many agree at least; at similarity 0.6 fewer do with probability 0.001.
 AGREE = 12
+#: A key with more classes is joined instead of paired in one task.
+HOT = 2000
 
 
 def _signature(elements: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
@@ -99,12 +101,65 @@ def _agreeing(a: Column, b: Column) -> Column:
     return 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes of one key, from rows sorted by key and class; rows of a hot key come back as they are."""
+    keys, sigs = np.empty(0, np.int64), np.empty(0, np.int64)
+    hot_key = None
+
+    def rows(k: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.nulls(len(s), pa.int64()), pa.array(k)], ["a", "b", "key"])
+
+    def pairs(k: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(k):  # copies met in several tasks
+            new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
+            k, s = k[new], s[new]
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+        size = np.diff(np.r_[start, len(k)])
+        hot = np.repeat(size > HOT, size)
+        if hot.any():
+            yield rows(k[hot], s[hot])
+            k, s = k[~hot], s[~hot]
+        at = np.arange(len(k))
+        step = 1
+        while len(at):
+            at = at[at + step < len(k)]
+            at = at[k[at] == k[at + step]]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array(s[at + step]), pa.nulls(len(at), pa.int64())], ["a", "b", "key"])
+            step += 1
+
+    for batch in batches:
+        k, s = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if hot_key is not None:
+            n = int(np.searchsorted(k, hot_key, "right"))
+            if n:
+                yield rows(k[:n], s[:n])
+            k, s = k[n:], s[n:]
+            if not len(k):
+                continue
+            hot_key = None
+        keys, sigs = np.r_[keys, k], np.r_[sigs, s]
+        # the last key may go on in the next batch
+        cut = int(np.searchsorted(keys, keys[-1]))
+        yield from pairs(keys[:cut], sigs[:cut])
+        keys, sigs = keys[cut:], sigs[cut:]
+        if len(keys) > 4 * HOT:
+            hot_key = keys[-1]
+            yield rows(keys, sigs)
+            keys, sigs = keys[:0], sigs[:0]
+    yield from pairs(keys, sigs)
+
+
 def candidates(prints: DataFrame) -> DataFrame:
-    """``a, b``: classes that share a band and enough check coordinates, a < b."""
-    # a class reaches a band once per task; here it becomes one row, and the join keeps the partitioning
-    banded = prints.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").dropDuplicates(["key", "sig"])
-    left, right = banded.select("key", F.col("sig").alias("a")), banded.select("key", F.col("sig").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    """``a, b``: classes that share a band and enough check coordinates, a < b.
+
+    The rows of a key lie together and sorted, so its pairs are read off the stream; a key of more than ``HOT`` classes isn't held but joined.
+    """
+    banded = prints.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
+    met = stage(banded.mapInArrow(_met, "a bigint, b bigint, key bigint"), "met")
+    hot = met.where("key is not null").select("key", F.col("a").alias("sig")).distinct()
+    joined = hot.select("key", F.col("sig").alias("a")).join(hot.select("key", F.col("sig").alias("b")), "key").where("a < b").select("a", "b")
+    pairs = met.where("key is null").select("a", "b").union(joined).distinct()
     words = prints.where("c0 is not null").groupBy("sig").agg(F.first("c0").alias("c0"), F.first("c1").alias("c1"))
     for side in "ab":
         pairs = pairs.join(words.select(F.col("sig").alias(side), F.col("c0").alias(f"{side}0"), F.col("c1").alias(f"{side}1")), side)
@@ -155,6 +210,7 @@ def near_duplicates(
         DataFrame.unionAll,
         [fingerprints(df, name, key, text, size=size, rows=rows, bands=bands, salt=k + 1) for k, (df, name, key, text) in enumerate(tables)],
     ).persist(StorageLevel.MEMORY_AND_DISK)  # kept with its lineage: what a lost executor held is made again
+    prints.count()  # once, before several stages read it at the same time and each makes it
     pairs = stage(candidates(prints), "candidates")
     links = stage(verified(pairs, prints, size=size, least=least), "links")
     members = stage(prints.select("tbl", "id", "sig").distinct(), "members")
