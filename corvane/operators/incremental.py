@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.ids import content_hash, stable_uuid
@@ -25,21 +27,21 @@ def hashed_files(spark, folder: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("document_hash"))
 
 
-def plan_embedding(texts: DataFrame, indexed: DataFrame, key: str, text: str, model: str) -> DataFrame:
+def plan_embedding(texts: DataFrame, indexed: DataFrame, key: str, text: str, model: str, point: Callable[[Column], Column] = stable_uuid) -> DataFrame:
     """``key, point_id, content_hash, action`` of every text: ``embed``, ``skip`` or ``blank``.
 
-    ``indexed``: point_id, embedding_model, content_hash. A text is skipped where model and hash of the whole text are unchanged.
+    ``indexed``: point_id, embedding_model, content_hash; ``point`` makes a key's point id. A text is skipped where model and hash of the whole text are unchanged.
     """
-    rows = texts.select(F.col(key), stable_uuid(F.col(key).cast("string")).alias("point_id"), content_hash(F.col(text)).alias("content_hash"), is_blank(F.col(text)).alias("__blank"))
+    rows = texts.select(F.col(key), point(F.col(key).cast("string")).alias("point_id"), content_hash(F.col(text)).alias("content_hash"), is_blank(F.col(text)).alias("__blank"))
     known = indexed.select("point_id", F.col("embedding_model").alias("__model"), F.col("content_hash").alias("__hash"))
     same = (F.col("__model") == model) & (F.col("__hash") == F.col("content_hash"))
     action = F.when(F.col("__blank"), "blank").when(same, "skip").otherwise("embed")
     return rows.join(known, "point_id", "left").select(key, "point_id", "content_hash", action.alias("action"))
 
 
-def stale_points(indexed: DataFrame, current: DataFrame, key: str) -> DataFrame:
+def stale_points(indexed: DataFrame, current: DataFrame, key: str, point: Callable[[Column], Column] = stable_uuid) -> DataFrame:
     """Indexed points whose text is gone."""
-    return indexed.join(current.select(stable_uuid(F.col(key).cast("string")).alias("point_id")), "point_id", "left_anti")
+    return indexed.join(current.select(point(F.col(key).cast("string")).alias("point_id")), "point_id", "left_anti")
 
 
 def run_stats(planned: DataFrame, stale: DataFrame) -> DataFrame:

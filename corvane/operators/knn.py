@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def _rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The usable vectors of a column, unit length, and their places."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), -1))
+    size = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
     at = np.flatnonzero(size == dims)
     x = np.asarray(column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(float("nan"))).reshape(len(at), dims)
     norm = np.linalg.norm(x, axis=1)
@@ -41,26 +42,42 @@ def _rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good] / norm[good][:, None], at[good]
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, key: str, vector: str, *, k: int, least: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, id, score, rank`` of the k best of the corpus for every query row."""
+def nearest(
+    corpus: DataFrame, queries: DataFrame, key: str, vector: str, *, k: int, least: float | None = None,
+    anchored: bool = False, same: bool = False, block: int = QUERY_BLOCK,
+) -> DataFrame:
+    """``query_id, id, score, rank`` of the k best of the corpus for every query row.
+
+    With ``anchored`` a row counts only while it is open at the query's day: the corpus has ``opened`` and ``closed``
+    (null: still open), the queries ``at``, all dates. With ``same`` both have an integer ``klass``; a query that has one keeps to
+    rows of that class, one without it takes all.
+    """
     kind = corpus.schema[key].dataType
-    asked = queries.select(key, vector).where(F.size(vector) > 0)
+    day = lambda c: F.unix_date(c).alias(c)
+    extra_c = [day("opened"), day("closed")] * anchored + [F.col("klass").cast("int").alias("klass")] * same
+    extra_q = [day("at")] * anchored + [F.col("klass").cast("int").alias("klass")] * same
+    asked = queries.where(F.size(vector) > 0).select(key, vector, *extra_q)
+    src = spread(corpus.where(F.size(vector) > 0).select(key, vector, *extra_c))
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
     blocks = max(1, -(-asked.count() // block))
-    src = spread(corpus.select(key, vector).where(F.size(vector) > 0))
     parts = []
     for b in range(blocks):
         own = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else asked
-        parts.append(src.mapInArrow(_block(own.toArrow(), k, least, schema.names), schema))
+        parts.append(src.mapInArrow(_block(own.toArrow(), k, least, anchored, same, schema.names), schema))
     best = reduce(DataFrame.unionAll, parts)
     rank = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def _block(table: pa.Table, k: int, least: float | None, names: list[str]):
+def _numbers(column: pa.Array, at: np.ndarray, null: float) -> np.ndarray:
+    return np.asarray(column.take(pa.array(at)).cast(pa.float64()).fill_null(null))
+
+
+def _block(table: pa.Table, k: int, least: float | None, anchored: bool, same: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = table.column(0).combine_chunks(), table.column(1).combine_chunks()
-        sizes = np.unique(np.asarray(pa.compute.list_value_length(vectors))) if len(vectors) else []
+        asked = [c.combine_chunks() for c in table.columns]
+        ids, vectors = asked[0], asked[1]
+        sizes = np.unique(np.asarray(pc.list_value_length(vectors))) if len(vectors) else []
         for batch in batches:
             for dims in sizes:
                 q, q_at = _rows(vectors, int(dims))
@@ -71,8 +88,16 @@ def _block(table: pa.Table, k: int, least: float | None, names: list[str]):
                 names_q, names_x = np.asarray(q_ids.to_pylist(), object), np.asarray(x_ids.to_pylist(), object)
                 order = np.argsort(names_x, kind="stable")
                 for i in range(0, len(q), 512):
-                    score = np.round(q[i : i + 512] @ x.T, 12)
-                    score[names_q[i : i + 512, None] == names_x[None, :]] = -np.inf
+                    j = slice(i, i + 512)
+                    score = np.round(q[j] @ x.T, 12)
+                    out = names_q[j, None] == names_x[None, :]
+                    if anchored:
+                        now = _numbers(asked[2], q_at, -np.inf)[j, None]
+                        out |= (_numbers(batch.column(2), x_at, np.inf)[None, :] > now) | (_numbers(batch.column(3), x_at, np.inf)[None, :] <= now)
+                    if same:
+                        mine = _numbers(asked[-1], q_at, np.nan)[j, None]
+                        out |= ~np.isnan(mine) & ~(mine == _numbers(batch.column(batch.num_columns - 1), x_at, np.nan)[None, :])
+                    score[out] = -np.inf
                     top = order[np.argsort(-np.round(score[:, order], 9), axis=1, kind="stable")[:, :k]]
                     got = np.take_along_axis(score, top, 1)
                     keep = np.isfinite(got) & (got >= (-np.inf if least is None else least))
