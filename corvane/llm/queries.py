@@ -73,4 +73,18 @@ QUERIES = {
     "p9_found": p9_found,
     "p10_found": p10_found,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": r"""
+WITH d AS (SELECT DISTINCT 'parsed_questions' AS tbl, id, texte_question AS x FROM parsed_questions UNION SELECT 'reponses', id, texte_reponse FROM reponses),
+w AS (SELECT tbl, id, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS w FROM d WHERE x IS NOT NULL),
+s AS (SELECT DISTINCT tbl, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT tbl, id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT p.tbl, id_a, id_b FROM p JOIN n x ON x.tbl = p.tbl AND x.id = id_a JOIN n y ON y.tbl = p.tbl AND y.id = id_b WHERE c * 10 >= 6 * (x.n + y.n - c)""",
+    "p7_found": """
+WITH v AS (SELECT DISTINCT 'question' AS coll, id, CAST(vector AS DOUBLE[]) AS v FROM vec_questions_opendata UNION SELECT 'answer', id, CAST(vector AS DOUBLE[]) FROM vec_answers_opendata),
+u AS MATERIALIZED (SELECT * FROM v WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.coll, a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.coll = b.coll AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY coll, x ORDER BY c DESC, y) AS k FROM s WHERE c >= 0.9)
+SELECT DISTINCT coll, least(x, y) AS id_a, greatest(x, y) AS id_b FROM r WHERE k <= 5""",
+}
