@@ -61,6 +61,15 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6
 
 _T2 = "nullif(regexp_replace(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), {z}, ''), '')"
 SQL = {
+    "p1_found": r"""
+WITH o AS (SELECT raw_id, CAST(payload AS JSON)->'$.archive.questionsEcrites.question' AS x FROM raw_an_questions WHERE json_valid(payload)),
+q AS (SELECT raw_id, unnest(a) AS q, unnest(range(len(a)))::INTEGER AS question_pos FROM (SELECT raw_id, CASE WHEN json_type(x) = 'ARRAY' THEN CAST(x AS JSON[]) ELSE [x] END AS a FROM o WHERE x IS NOT NULL)),
+r AS (SELECT raw_id, question_pos, trim(q->>'$.identifiant.numero') AS n, trim(q->>'$.identifiant.legislature') AS l, q->'$.textesReponse.texteReponse' AS x FROM q WHERE json_type(q) = 'OBJECT'),
+s AS (SELECT * EXCLUDE (a), unnest(a) AS r, unnest(range(len(a)))::INTEGER AS reponse_pos FROM (SELECT raw_id, question_pos, n, l, CASE WHEN json_type(x) = 'ARRAY' THEN CAST(x AS JSON[]) ELSE [x] END AS a FROM r WHERE x IS NOT NULL AND n <> '' AND l <> '')),
+t AS (SELECT *, regexp_replace(CASE WHEN json_type(r->'$.texte') = 'OBJECT' THEN r->>'$.texte."#text"' ELSE r->>'$.texte' END, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') AS txt, trim(r->>'$.infoJO.dateJO') AS d FROM s WHERE json_type(r) = 'OBJECT')
+SELECT raw_id, question_pos, reponse_pos, 'AN-' || l || '-QE-' || n AS question_id,
+  coalesce('AN-' || strftime(coalesce(try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%d/%m/%Y')), '%Y%m%d') || '-' || substr(sha1(txt), 1, 12), 'AN-' || l || '-QE-' || n) AS reponse_id
+FROM t WHERE txt <> ''""".replace("\\\\", "\\"),
     "p2_found": f"""
 WITH r AS (
   SELECT source, snapshot_no, id, loaded_at,
