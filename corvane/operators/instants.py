@@ -19,6 +19,7 @@ Defined cases
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -82,48 +83,56 @@ def _zones() -> list[str]:
         return sorted(available_timezones())
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def instant_us(text: Column, zone: str = "Europe/Paris") -> Column:
     """Microseconds since 1970-01-01 UTC that a text names, or null."""
     whole, layout = pattern()
     # one pass of the expression; a value that doesn't match comes back without separators
     parts = F.split(F.regexp_replace(text, whole, layout), "\u0001")
+    places = {n.lower(): n for n in _zones() if "/" in n}
+    named = F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in places.items())), F.lit(";"), F.lit("="))  # one literal, folded once
 
-    def build(p: Column) -> Column:
+    def numbers(p: Column) -> Column:
         part = {name: F.get(p, F.lit(i)) for i, name in enumerate(PARTS)}
-        num = lambda name: F.expr("bigint(null)") if name is None else F.try_to_number(F.lpad(F.nullif(part[name], F.lit("")), 4, "0"), F.lit("9999")).cast("bigint")
-        year = F.when(F.length(part["y"]) == 2, num("y") + 2000).otherwise(num("y"))
+        num = lambda name: part[name].try_cast("bigint")
         word = F.lower(part["w"])
-        named = reduce(lambda acc, k: acc.when(word.isin(*MONTHS[k]), k + 1), range(1, 12), F.when(word.isin(*MONTHS[0]), 1))
-        month = F.coalesce(named.cast("bigint"), num("m"))
-        day = num("d")
-        hour, minute, second = (F.coalesce(num(x), F.lit(0)) for x in "his")
-        fraction = F.rpad(F.substring(part["f"], 1, 6), 6, "0").cast("bigint")
-        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-        longest = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-        real = (
-            (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= longest)
-            & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
-        )
-        local = (((_days(year, month, day) * 24 + hour) * 60 + minute) * 60 + second) * 1_000_000 + fraction
+        month = reduce(lambda acc, k: acc.when(word.isin(*MONTHS[k]), k + 1), range(1, 12), F.when(word.isin(*MONTHS[0]), 1))
         z = F.lower(part["z"])
-        abbreviated = reduce(lambda acc, kv: acc.when(z == kv[0], kv[1]), list(ABBREVIATIONS.items())[1:], F.when(z == "z", 0))
-        digits = F.regexp_replace(z, r"[^0-9]", "")
-        away = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).try_cast("int"), F.lit(0))
-        offset = F.coalesce(abbreviated, F.when(z.startswith("+"), away).otherwise(-away)).cast("bigint")
-        names = {n.lower(): n for n in _zones()}
+        digits = F.regexp_replace(z, "[^0-9]", "")
+        away = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+        known = reduce(lambda acc, kv: acc.when(z == kv[0], kv[1]), list(ABBREVIATIONS.items())[1:], F.when(z == "z", 0))
         region = F.lower(part["r"])
-        places = F.create_map(*[F.lit(x) for kv in names.items() if "/" in kv[0] for x in kv])
-        place = F.when(region == "", F.lit(zone)).otherwise(F.try_element_at(places, region))
-        in_zone = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.when(real, local)), F.coalesce(place, F.lit("UTC"))))
-        e = part["e"]
-        epoch = e.try_cast("bigint") * F.when(F.length(e) == 10, 1_000_000).when(F.length(e) == 13, 1000).otherwise(1)
-        return (
-            F.when(F.size(p) != len(PARTS), None)
-            .when(e != "", epoch)
-            .when(~real, None)
-            .when(z != "", F.when(offset.between(-18 * 60, 18 * 60), local - offset * 60_000_000))
-            .when(place.isNotNull(), in_zone)
+        return F.struct(
+            (num("y") + F.when(F.length(part["y"]) == 2, 2000).otherwise(0)).alias("y"),
+            F.coalesce(month.cast("bigint"), num("m")).alias("m"),
+            num("d").alias("d"),
+            *[F.coalesce(num(x), F.lit(0)).alias(x) for x in "his"],
+            F.rpad(F.substring(part["f"], 1, 6), 6, "0").try_cast("bigint").alias("f"),
+            (z != "").alias("zoned"),
+            F.when(z != "", F.coalesce(known, F.when(z.startswith("+"), away).otherwise(-away))).cast("bigint").alias("offset"),
+            F.when(region == "", F.lit(zone)).otherwise(F.try_element_at(named, region)).alias("place"),
         )
 
-    # the array is bound once, so its components aren't computed again for each use
-    return F.get(F.transform(F.array(parts), build), F.lit(0)).cast("bigint")
+    def moment(n: Column) -> Column:
+        y, m, d = n["y"], n["m"], n["d"]
+        leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+        longest = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+        real = (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= longest) & n["h"].between(0, 23) & n["i"].between(0, 59) & n["s"].between(0, 59)
+        local = F.when(real, (((_days(y, m, d) * 24 + n["h"]) * 60 + n["i"]) * 60 + n["s"]) * 1_000_000 + F.coalesce(n["f"], F.lit(0)))
+        return _bind(
+            local,
+            lambda us: F.when(n["zoned"], F.when(n["offset"].between(-18 * 60, 18 * 60), us - n["offset"] * 60_000_000)).when(
+                n["place"].isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(us), n["place"]))
+            ),
+        )
+
+    def build(p: Column) -> Column:
+        e = F.get(p, F.lit(PARTS.index("e")))
+        epoch = e.try_cast("bigint") * F.when(F.length(e) == 10, 1_000_000).when(F.length(e) == 13, 1000).otherwise(1)
+        return F.when(F.size(p) != len(PARTS), None).when(e != "", epoch).otherwise(_bind(numbers(p), moment))
+
+    return _bind(parts, build).cast("bigint")
