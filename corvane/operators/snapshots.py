@@ -7,7 +7,7 @@ whole derivation takes one shuffle.
 
 Defined cases
 * Of several rows of one key in one delivery the latest load time counts; at a tie the row whose
-  values come last in column order, so repeated rows change nothing.
+  values come last in column order, null first, so repeated rows change nothing.
 * Text values are compared without outer blanks, columns named as codes also without leading zeros;
   empty equals null, null differs from a value.
 * Rows with a null source, delivery number or key belong to no delivery and are left out.
@@ -93,7 +93,7 @@ class Bitmap:
 
 def _plain(c: Column, kind: str, code: bool) -> Column:
     if kind != "string":
-        return c.cast("string")
+        return c if kind.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp") else c.cast("string")
     t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     if code:
         t = F.regexp_replace(t, "^0+(?=.)", "")
@@ -116,7 +116,7 @@ def _diff(table: pa.Table, columns: Sequence[str], names: tuple[str, str, str])
     vectors = [_codes(table.column(c)) for c in columns]
     at = np.asarray(pc.fill_null(table.column("__at"), -(2**62)))
     # the latest row of a key in a delivery comes last in this order
-    tie = [np.asarray(pc.fill_null(pc.rank(table.column(c).combine_chunks(), tiebreaker="dense"), 0)).astype(np.int64) for c in columns]
+    tie = [np.asarray(pc.rank(table.column(c).combine_chunks(), null_placement="at_start", tiebreaker="dense")).astype(np.int64) for c in columns]
     order = np.lexsort([*reversed(tie), at, persistent, numbers])
     n, o = numbers[order], persistent[order]
     last = np.r_[(n[1:] != n[:-1]) | (o[1:] != o[:-1]), True] if len(n) else np.zeros(0, bool)

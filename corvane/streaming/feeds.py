@@ -47,4 +47,4 @@ def state_changes(before: DataFrame, after: DataFrame, key: str, state: str) ->
     """``key, old, new`` of rows whose state is another than before; new keys have no old one."""
     a = before.select(F.col(key), F.col(state).alias("old"))
     b = after.select(F.col(key), F.col(state).alias("new"))
-    return b.join(a, key, "left").where(~F.col("old").eqNullSafe(F.col("new")))
+    return b.join(a, key, "left").where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "old", "new")
