@@ -10,7 +10,7 @@ from corvane.operators.merge import QUESTION_POLICY
 from corvane.sources import archives, dump, files, pages
 from corvane.streaming import feeds
 
-NS = 'xmlns="http://schemas.assemblee-nationale.fr/referentiel"'
+NS = 'xmlns="urn:referentiel"'
 
 
 def xml(number, extra="", ns=NS):
