@@ -28,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.sketching import WordCodes, band_keys, check_words, mix, seed, shingle_sets, sketches
+from corvane.llm.sketching import WordCodes, band_keys, check_words, mix, seed, shingle_sets, sketches, sorted_within
 from corvane.session import spread, stage
 
 #: Copies of one text are paired one by one up to this many; the list of a larger group is its star.
@@ -185,7 +185,7 @@ def verified(pairs: DataFrame, prints: DataFrame, *, size: int, least: float) ->
             elements, starts = shingle_sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), size, codes)
             sizes = np.diff(starts)
             pair = np.repeat(np.r_[np.arange(n), np.arange(n)], sizes)
-            order = np.lexsort((elements, pair))
+            order = sorted_within(pair, elements)
             e, p = elements[order], pair[order]
             shared = np.bincount(p[1:][(e[1:] == e[:-1]) & (p[1:] == p[:-1])], minlength=n)
             either = sizes[:n] + sizes[n:] - shared
