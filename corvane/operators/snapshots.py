@@ -110,8 +110,15 @@ def _diff(table: pa.Table, columns: Sequence[str], names: tuple[str, str, str])
     ids = pc.dictionary_encode(table.column(key)).combine_chunks()
     rank = np.empty(len(ids.dictionary), np.int64)
     rank[np.asarray(pc.sort_indices(ids.dictionary))] = np.arange(len(rank))
-    persistent = rank[np.asarray(ids.indices)]
-    by_ordinal = ids.dictionary.take(pa.array(np.argsort(rank)))
+    # keys with an ordinal keep it; new ones follow in key order
+    held = np.full(len(rank), -1, np.int64)
+    if "__ordinal" in table.column_names:
+        np.maximum.at(held, np.asarray(ids.indices), np.asarray(pc.fill_null(table.column("__ordinal"), -1)).astype(np.int64))
+    fresh = np.flatnonzero(held < 0)
+    held[fresh[np.argsort(rank[fresh])]] = held.max(initial=-1) + 1 + np.arange(len(fresh))
+    persistent = held[np.asarray(ids.indices)]
+    place = np.argsort(held)
+    by_ordinal, ordinals_held = ids.dictionary.take(pa.array(place)), held[place]
     numbers = np.asarray(table.column(number)).astype(np.int64)
     vectors = [_codes(table.column(c)) for c in columns]
     at = np.asarray(pc.fill_null(table.column("__at"), -(2**62)))
@@ -157,12 +164,33 @@ def _diff(table: pa.Table, columns: Sequence[str], names: tuple[str, str, str])
         {
             source: pa.array([name] * total, pa.string()),
             number: pa.array(np.repeat([d for d, _, _ in found], counts).astype(np.int32) if found else [], pa.int32()),
-            key: by_ordinal.take(pa.array(ordinals)).cast(pa.string()),
+            key: by_ordinal.take(pa.array(np.searchsorted(ordinals_held, ordinals))).cast(pa.string()),
             "change_kind": pa.array(np.repeat([k for _, k, _ in found], counts).tolist() if found else [], pa.string()),
         }
     )
 
 
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets))
+
+
+def key_ordinals(df: DataFrame, buckets: int, known: DataFrame | None = None, *, source: str = "source", key: str = "id") -> DataFrame:
+    """``source, bucket, key, ordinal``: the dictionary of keys to ordinals within their bucket, to be stored.
+
+    Keys of ``known``, an earlier dictionary of as many buckets, keep their ordinals; new ones go on from the highest.
+    """
+    keys = df.select(F.col(source).cast("string").alias(source), F.col(key).cast("string").alias(key)).where(F.col(source).isNotNull() & F.col(key).isNotNull()).distinct()
+    keys = keys.withColumn("bucket", _bucket(F.col(key), buckets))
+    if known is None:
+        keys = keys.withColumn("held", F.lit(None).cast("bigint"))
+    else:
+        keys = keys.join(known.select(source, key, F.col("ordinal").alias("held")), [source, key], "full").withColumn("bucket", _bucket(F.col(key), buckets))
+    own = Window.partitionBy(source, "bucket")
+    top = F.coalesce(F.max("held").over(own), F.lit(-1))
+    turn = F.row_number().over(own.orderBy(F.col("held").isNotNull(), key))
+    return keys.select(source, "bucket", key, F.coalesce("held", top + turn).alias("ordinal"))
+
+
 def snapshot_changes(
     df: DataFrame,
     columns: Sequence[str],
@@ -173,32 +201,37 @@ def snapshot_changes(
     loaded: str = "loaded_at",
     codes: Sequence[str] = (),
     bucket_rows: int = BUCKET_ROWS,
+    buckets: int | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """``source, number, key, change_kind`` of every key added, removed or changed against the delivery before.
 
     ``columns`` are compared; those in ``codes`` without leading zeros. ``bucket_rows`` sizes the buckets from
-    the table's row count; every bucket holds all deliveries of its keys.
+    the table's row count unless their number is given; every bucket holds all deliveries of its keys. ``known`` are
+    stored ordinals (see ``key_ordinals``), which keys keep from run to run.
     """
     kinds = dict(df.dtypes)
     src = df.where(F.col(source).isNotNull() & F.col(number).isNotNull() & F.col(key).isNotNull())
     deliveries = src.select(F.col(source).alias("__s"), F.col(number).alias("__n")).distinct()
-    known = deliveries.count()
+    n_deliveries = deliveries.count()
 
     line = Window.partitionBy("__s").orderBy("__n")
     deliveries = deliveries.select(
         "__s", "__n", F.lag("__n").over(line).cast("bigint").alias("__prev"), F.lead("__n").over(line).cast("bigint").alias("__next")
     )
-    if known <= BROADCAST_DELIVERIES:
+    if n_deliveries <= BROADCAST_DELIVERIES:
         deliveries = F.broadcast(deliveries)
-    buckets = max(1, -(-df.count() // bucket_rows))
+    buckets = buckets or max(1, -(-df.count() // bucket_rows))
     rows = src.select(
         F.col(source).cast("string").alias(source),
         F.col(number).cast("int").alias(number),
         F.col(key).cast("string").alias(key),
         F.unix_micros(F.col(loaded).cast("timestamp")).alias("__at"),
         *[_plain(F.col(c), kinds[c], c in codes).alias(c) for c in columns],
-        F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).alias("__bucket"),
+        _bucket(F.col(key), buckets).alias("__bucket"),
     )
+    if known is not None:
+        rows = rows.join(known.select(source, key, F.col("ordinal").alias("__ordinal")), [source, key], "left")
     rows = rows.join(deliveries, (F.col(source) == F.col("__s")) & (F.col(number) == F.col("__n"))).drop("__s", "__n")
     compared = list(columns)
     out = f"{source} string, {number} int, {key} string, change_kind string"

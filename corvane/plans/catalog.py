@@ -12,7 +12,7 @@ from corvane.functions.splitter import split_text
 from corvane.operators import evaluate, groups, incremental, knn, merge
 from corvane.operators.collection import compile_filter
 from corvane.operators.merge import Policy
-from corvane.session import load
+from corvane.session import load, spread
 from corvane.sources import archives, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,12 +337,17 @@ def typed_keys(t):
 @query()
 def split_texts(t):
     s = split_text(F.col("texte_question")).alias("s")
-    return t("parsed_questions").select("id", "texte_question").distinct().select("id", s).select("id", "s.*")
+    return _texts(t).select("id", s).select("id", "s.*")
+
+
+def _texts(t) -> DataFrame:
+    """Each question's text once; a table of few splits is dealt to all cores before the expensive expressions."""
+    return spread(t("parsed_questions").select("id", "texte_question"), "id").dropDuplicates(["id", "texte_question"])
 
 
 @query()
 def text_stats(t):
-    s = t("parsed_questions").select("id", "texte_question").distinct().select(split_text(F.col("texte_question")).alias("s"))
+    s = _texts(t).select(split_text(F.col("texte_question")).alias("s"))
     has = lambda c: F.col(f"s.{c}").isNotNull()
     pct = lambda c: F.round(100 * F.count_if(c) / F.count("*"), 1)
     return s.agg(

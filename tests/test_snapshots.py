@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 
-from corvane.operators.snapshots import Bitmap, snapshot_changes
+from corvane.operators.snapshots import Bitmap, key_ordinals, snapshot_changes
 
 SCHEMA = "source string, snapshot_no int, id string, a string, code string, n int, loaded_at timestamp, __bucket string"
 T0 = datetime(2024, 1, 1)
@@ -65,3 +65,15 @@ def test_against_brute_force(spark):
             want |= {(s, no, k, "added") for k in b.keys() - a.keys()} | {(s, no, k, "removed") for k in a.keys() - b.keys()}
             want |= {(s, no, k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
     assert changes(spark, rows, bucket_rows=50) == want
+
+
+def test_ordinals_persist(spark):
+    day = lambda no: [row("S", no, f"k{i}") for i in range(20 + no)] + [row("T", no, "k0"), row("S", no, None)]
+    first = key_ordinals(spark.createDataFrame(day(1), SCHEMA), 3)
+    second = key_ordinals(spark.createDataFrame(day(9), SCHEMA), 3, first)
+    a, b = ({(r["source"], r["id"]): (r["bucket"], r["ordinal"]) for r in x.collect()} for x in (first, second))
+    assert len(a) == 22 and len(b) == 30 and all(b[k] == v for k, v in a.items())
+    for s, bucket in {(k[0], v[0]) for k, v in b.items()}:
+        assert sorted(v[1] for k, v in b.items() if (k[0], v[0]) == (s, bucket)) == list(range(sum((k[0], v[0]) == (s, bucket) for k, v in b.items())))
+    rows = day(1) + day(9) + [row("S", 10, "k3", a="other")]
+    assert changes(spark, rows, buckets=3, known=first) == changes(spark, rows, buckets=3) == changes(spark, rows, buckets=3, known=second)
