@@ -130,6 +130,7 @@ def similar_nodes(nodes: DataFrame, *, k: int, least: float, spill: int = SPILL)
     model = fit(nodes, nodes.count())
     if model is None:
         return None
+    nodes = spread(nodes)
     # as many rows as there are cells, a number bounded by the training rows
     sizes = {r["cell"]: r["count"] for r in _cells(nodes, model, spill, False).groupBy("cell").count().collect()}
     large = {c: -(-n // BLOCK) for c, n in sizes.items() if n > BLOCK}
@@ -148,7 +149,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, *, dims: int, k: int, le
     """``id_a, id_b`` (the smaller first) where one is among the other's k most similar and their cosine is at least ``least``."""
     spark = df.sparkSession
     rows = usable(df, key, vector, dims).withColumn("node", F.xxhash64("vector"))
-    nodes = stage(spread(rows.groupBy("node").agg(F.first("vector").alias("vector"))), "nodes")
+    nodes = stage(rows.groupBy("node").agg(F.first("vector").alias("vector")), "nodes")
     members = stage(rows.select("node", "id").distinct(), "members")
     near = similar_nodes(nodes, k=k, least=least, spill=spill)
     if near is None:
