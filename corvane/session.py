@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import tempfile
@@ -40,17 +41,36 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     known to the planner, which a checkpointed plan's are not.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corvane/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_folders: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Staged tables go with the program that wrote them; a folder left behind does no harm."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:
+        pass
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over the cluster's cores where its scan would leave most of them idle.
 
     A scan of a large table has enough splits and passes unchanged; only an input of fewer splits
-    than half the cores is shuffled before a Python stage.
+    than half the cores is shuffled before a Python stage. A plan with a shuffle of its own is left to
+    adaptive execution: to count its partitions would run it.
     """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().getClass().getSimpleName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() * 2 > cores:
         return df
