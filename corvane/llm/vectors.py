@@ -28,6 +28,8 @@ from corvane.session import spread, stage
 
 #: Rows the index is fitted on, at most.
 TRAIN = 65_536
+#: Hash values the sample is drawn by.
+SLOTS = 1 << 20
 #: Training rows per cell, at least.
 PER_CELL = 16
 #: Nodes of a cell, about, while training rows allow as many cells.
@@ -58,10 +60,14 @@ def fit(nodes: DataFrame, count: int, seed: int = 7) -> Quantiser | None:
     """A quantiser from a bounded sample of the nodes."""
     cells = max(1, min(count // CELL, TRAIN // PER_CELL))
     most = min(TRAIN, max(4096, cells * 2 * PER_CELL))
-    sample = nodes.select("node", "vector").orderBy(F.xxhash64("node")).limit(most).toArrow()
+    # a threshold on the hash draws them in the scan: nothing is sorted or brought together but the sample
+    share = min(SLOTS, int(SLOTS * 1.1 * most / max(count, 1)) + 64)
+    drawn = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(SLOTS))
+    sample = nodes.where(drawn < share).select("node", "vector").limit(4 * most).toArrow()
     if not sample.num_rows:
         return None
-    x = unit(_matrix(sample.column("vector").combine_chunks()))
+    order = np.argsort(np.asarray(sample.column("node").combine_chunks()))[:most]
+    x = unit(_matrix(sample.column("vector").combine_chunks().take(pa.array(order))))
     q = Quantiser.fit(x, cells, seed=seed)
     q.measure(x[:4096], 1 - LOSS)
     return q
