@@ -101,27 +101,36 @@ class Tokenizer:
 def explode_values(df: DataFrame, key: str, packed: str, *, separators: str = SEPARATORS) -> DataFrame:
     """``key, pos, val``: one row per value of the packed field, positions from 1, rows distinct.
 
-    Repeated rows are dropped before they are split; the one shuffle is by key, which both steps share.
+    The one shuffle is by key. Rows of a key then lie together, equal fields beside one another, so that repeated rows are
+    split once and repeated values of a key dropped as they come.
     """
     src = df.select(F.col(key), F.col(packed).cast("string").alias("__packed")).where(F.col("__packed").isNotNull())
-    src = src.repartition(key).dropDuplicates([key, "__packed"])
+    src = src.repartition(key).sortWithinPartitions(key, "__packed")
     schema = T.StructType([src.schema[key], T.StructField("pos", T.IntegerType()), T.StructField("val", T.StringType())])
     machine = Tokenizer(separators)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        given: set[tuple[int, str]] = set()
         for batch in batches:
             rows: list[int] = []
             pos: list[int] = []
             val: list[str] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                values = machine.split(text)
+            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if row == last:
+                    continue
+                if last is None or row[0] != last[0]:
+                    given = set()
+                last = row
+                values = [v for v in enumerate(machine.split(row[1]), 1) if v not in given]
+                given.update(values)
                 rows += [i] * len(values)
-                pos += range(1, len(values) + 1)
-                val += values
+                for p, v in values:
+                    pos.append(p)
+                    val.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(pos, pa.int32()), pa.array(val, pa.string())],
                 schema.names,
             )
 
-    # rows of one key stay together through the split, so a window-free distinct per key needs its own exchange only
-    return src.mapInArrow(run, schema).distinct()
+    return src.mapInArrow(run, schema)

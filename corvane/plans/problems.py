@@ -43,13 +43,15 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """The exact instant of every date text that names one."""
-    questions, dump = load(spark, root, "parsed_questions"), load(spark, root, "tam_questions")
-    parts = [(questions, "date_publication_jo"), (dump, "datejodepot"), (dump, "datejorep1")]
-    rows = [
-        df.select(F.lit(name).alias("field"), F.col("id").cast("string").alias("rec_id"), instant_us(F.col(name)).alias("utc_us"))
-        for df, name in parts
-    ]
-    return reduce(DataFrame.unionAll, rows).where(F.col("utc_us").isNotNull()).distinct()
+    parts = [("parsed_questions", ["date_publication_jo"]), ("tam_questions", ["datejodepot", "datejorep1"])]
+
+    def moments(table: str, fields: list[str]) -> DataFrame:
+        # generated rows, filtered after: each text is read once, and a table scanned once for all its fields
+        found = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), instant_us(F.col(f)).alias("utc_us")) for f in fields]))
+        rows = load(spark, root, table).select(F.col("id").cast("string").alias("rec_id"), found)
+        return rows.where(F.col("utc_us").isNotNull()).select("field", "rec_id", "utc_us")
+
+    return reduce(DataFrame.unionAll, [moments(*p) for p in parts]).distinct()
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

@@ -34,7 +34,8 @@ def test_long_fields_take_linear_time():
 
 
 def test_rows(spark):
-    df = spark.createDataFrame([(1, "a;a;b", "p"), (1, "a;a;b", "p"), (2, None, "p"), (None, "x", "p"), (3, " ; ", "p")], "id bigint, f string, pos string")
+    df = spark.createDataFrame([(1, "a;a;b", "p"), (1, "a;a;b", "p"), (2, None, "p"), (None, "x", "p"), (3, " ; ", "p"), (None, "x", "p"), (4, "u;v", "p"), (4, "u;w", "p"), (4, "u;v", "p")], "id bigint, f string, pos string")
     got = {tuple(r) for r in explode_values(df, "id", "f").collect()}
-    assert got == {(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (None, 1, "x")}
+    assert got == {(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (None, 1, "x"), (4, 1, "u"), (4, 2, "v"), (4, 2, "w")}
+    assert explode_values(df, "id", "f").count() == len(got)
     assert explode_values(df.limit(0), "id", "f").count() == 0
