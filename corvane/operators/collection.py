@@ -1,13 +1,10 @@
 """A vector collection over files: filters, point access, keyed writes.
 
-A point is ``id, vector, payload``, the payload JSON text. Every write gives a new snapshot in a fresh folder and then moves the pointer
-file, so readers see the old or the new one, never a part.
+A point is ``id, vector, payload``, the payload JSON text. Every write gives a new snapshot of the collection.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.knn import nearest
 from corvane.operators.merge import replace_by_key
+from corvane.operators.stores import SnapshotFolder
 
 SCHEMA = "id string, vector array<float>, payload string"
 
@@ -52,44 +50,23 @@ class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str, known: tuple[str, ...] = ("questions_opendata", "answers_opendata")):
         if name not in known:
             raise ValueError(f"unknown collection: {name}")
-        self.spark, self.name, self.base = spark, name, f"{root.rstrip('/')}/{name}"
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def _current(self) -> dict | None:
-        fs, path = self._fs()
-        at = path(f"{self.base}/current.json")
-        if not fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(str(at), wholetext=True).first()[0])
+        self.spark, self.name = spark, name
+        self.store = SnapshotFolder(spark, f"{root.rstrip('/')}/{name}", SCHEMA)
 
     def exists(self) -> bool:
-        return self._current() is not None
+        return self.store.info() is not None
 
     def vector_size(self) -> int | None:
-        now = self._current()
+        now = self.store.info()
         return now and now["size"]
 
     def points(self) -> DataFrame:
-        now = self._current()
-        if now is None:
+        if not self.exists():
             raise ValueError(f"no such collection: {self.name}")
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.base}/{now['folder']}")
+        return self.store.rows()
 
     def _write(self, df: DataFrame, size: int) -> None:
-        folder = f"points-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.base}/{folder}")
-        fs, path = self._fs()
-        fresh = path(f"{self.base}/current-{uuid.uuid4().hex}.json")
-        out = fs.create(fresh)
-        out.write(bytearray(json.dumps({"folder": folder, "size": size}).encode()))
-        out.close()
-        at = path(f"{self.base}/current.json")
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(fresh, at)
+        self.store.replace(df, size=size)
 
     def create(self, size: int) -> None:
         """An empty collection; an existing one must have the same size."""

@@ -12,36 +12,53 @@ from pyspark.sql import functions as F
 from corvane.operators.merge import replace_by_key
 
 
-class KeyedStore:
-    """A table by key. A write makes a new folder and then moves the pointer, so it is there whole or not at all."""
+class SnapshotFolder:
+    """A table of which there is one whole version at any time.
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str]):
-        self.spark, self.folder, self.schema, self.keys = spark, folder.rstrip("/"), schema, list(keys)
+    A write makes a new folder and then moves the pointer file, so readers see the old version or the new one, never a part.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
     def _hadoop(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         return path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def rows(self) -> DataFrame:
+    def info(self) -> dict | None:
+        """What the pointer says; None before the first write."""
         fs, path = self._hadoop()
         pointer = path(f"{self.folder}/current.json")
         if not fs.exists(pointer):
+            return None
+        return json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])
+
+    def rows(self) -> DataFrame:
+        now = self.info()
+        if now is None:
             return self.spark.createDataFrame([], self.schema)
-        now = json.loads(self.spark.read.text(str(pointer), wholetext=True).first()[0])["folder"]
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{now}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{now['folder']}")
 
-    def replace(self, df: DataFrame) -> None:
+    def replace(self, df: DataFrame, **info) -> None:
         name = f"rows-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
         fs, path = self._hadoop()
         fresh, pointer = path(f"{self.folder}/next-{uuid.uuid4().hex}.json"), path(f"{self.folder}/current.json")
         out = fs.create(fresh)
-        out.write(bytearray(json.dumps({"folder": name}).encode()))
+        out.write(bytearray(json.dumps(info | {"folder": name}).encode()))
         out.close()
         if fs.exists(pointer):
             fs.delete(pointer, False)
         fs.rename(fresh, pointer)
 
+
+class KeyedStore(SnapshotFolder):
+    """A table by key."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: Sequence[str]):
+        super().__init__(spark, folder, schema)
+        self.keys = list(keys)
+
     def upsert(self, df: DataFrame) -> None:
         rows = self.rows()
         self.replace(replace_by_key(rows, df.select(*rows.columns).dropDuplicates(self.keys), self.keys))
