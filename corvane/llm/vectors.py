@@ -32,8 +32,8 @@ TRAIN = 65_536
 SLOTS = 1 << 20
 #: Training rows per cell, at least.
 PER_CELL = 16
-#: Nodes of a cell, about, while training rows allow as many cells.
-CELL = 128
+#: Nodes of a cell, about; beyond as many cells as the training rows allow, cells are divided by fine centroids, so many at most.
+CELL, MOST_FINE = 128, 1024
 #: Cells a node lies in.
 SPILL = 2
 #: Nodes in a block of a large cell.
@@ -58,8 +58,10 @@ def usable(df: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
 
 def fit(nodes: DataFrame, count: int, seed: int = 7) -> Quantiser | None:
     """A quantiser from a bounded sample of the nodes."""
-    cells = max(1, min(count // CELL, TRAIN // PER_CELL))
-    most = min(TRAIN, max(4096, cells * 2 * PER_CELL))
+    cells = max(1, count // CELL)
+    coarse = min(cells, TRAIN // PER_CELL)
+    fine = min(-(-cells // coarse), MOST_FINE)
+    most = min(TRAIN, max(4096, coarse * 2 * PER_CELL))
     # a threshold on the hash draws them in the scan: nothing is sorted or brought together but the sample
     share = min(SLOTS, int(SLOTS * 1.1 * most / max(count, 1)) + 64)
     drawn = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(SLOTS))
@@ -68,7 +70,7 @@ def fit(nodes: DataFrame, count: int, seed: int = 7) -> Quantiser | None:
         return None
     order = np.argsort(np.asarray(sample.column("node").combine_chunks()))[:most]
     x = unit(_matrix(sample.column("vector").combine_chunks().take(pa.array(order))))
-    q = Quantiser.fit(x, cells, seed=seed)
+    q = Quantiser.fit(x, coarse, fine=fine, seed=seed)
     q.measure(x[:4096], 1 - LOSS)
     return q
 
@@ -77,14 +79,12 @@ def _cells(nodes: DataFrame, model: Quantiser, spill: int, vectors: bool) -> Dat
     """``cell, node`` (and the vector) of every node in its nearest cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = model.centroids.astype(np.float32)
-        p = min(spill, len(c))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(_matrix(batch.column(1))).astype(np.float32)
-            near = np.argpartition(-(x @ c.T), p - 1, axis=1)[:, :p] if p < len(c) else np.tile(np.arange(p), (len(x), 1))
-            rows = pa.array(np.repeat(np.arange(len(x)), p))
+            near = model.nearest_cells(x, spill)
+            rows = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
             out = [pa.array(near.reshape(-1).astype(np.int32)), batch.column(0).take(rows)]
             if vectors:
                 out.append(batch.column(1).take(rows))
@@ -137,9 +137,9 @@ def similar_nodes(nodes: DataFrame, *, k: int, least: float, spill: int = SPILL)
     if model is None:
         return None
     nodes = spread(nodes)
-    # as many rows as there are cells, a number bounded by the training rows
-    sizes = {r["cell"]: r["count"] for r in _cells(nodes, model, spill, False).groupBy("cell").count().collect()}
-    large = {c: -(-n // BLOCK) for c, n in sizes.items() if n > BLOCK}
+    # large cells only, so never more rows than a block's share of the nodes
+    sizes = {r["cell"]: r["count"] for r in _cells(nodes, model, spill, False).groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
+    large = {c: -(-n // BLOCK) for c, n in sizes.items()}
     placed = _cells(nodes, model, spill, True)
     if large:
         parts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in large.items() for x in kv]), F.col("cell")), F.lit(1))

@@ -53,6 +53,14 @@ def test_blocks_of_large_cells_give_the_same(spark, monkeypatch):
     assert run(spark, rows) == whole
 
 
+def test_fine_cells_keep_recall(spark, monkeypatch):
+    rows = rows_of(clustered(np.random.default_rng(8), 3000))
+    monkeypatch.setattr(vectors, "TRAIN", 1024)
+    monkeypatch.setattr(vectors, "PER_CELL", 64)
+    got, want = run(spark, rows), brute(rows, 5, 0.9)
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_copies(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(40, 16))
@@ -74,7 +82,7 @@ def test_parallel_error_is_what_the_loss_lowers():
         q = Quantiser.fit(x, 1, threshold=threshold)
         codes = q.encode(x, 0)
         assert codes.max() < 16
-        back = q.centroids[0] + q.centres[np.arange(len(q.centres))[None, :], codes].reshape(len(x), -1)
+        back = q.centroid(0) + q.centres[np.arange(len(q.centres))[None, :], codes].reshape(len(x), -1)
         errors.append(np.abs(((x - back) * x).sum(1)).mean())
         np.testing.assert_allclose(q.scan(x[:5], codes, 0), back @ x[:5].T, atol=1e-5)
     assert errors[1] < errors[0]
