@@ -54,15 +54,16 @@ def question_elements(df: DataFrame, content: str) -> DataFrame:
 
 
 def parse_questions(df: DataFrame, element: str = "element") -> DataFrame:
-    """A row per readable question element; malformed ones, and those without number or legislature, are dropped."""
+    """A row per readable question element: the last ministry it was attributed to, its first text, its first reply; malformed ones, and those without number or legislature, are dropped."""
     x = F.from_xml(F.col(element), QUESTION_XML, {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
     q = df.select(x.alias("x")).where("x is not null")
     last = lambda a: F.try_element_at(a, F.lit(-1))
     first = lambda a: F.get(a, F.lit(0))
     number, leg = F.col("x.identifiant.numero").try_cast("int"), F.col("x.identifiant.legislature").try_cast("int")
-    kind = F.coalesce(blank_to_null(F.col("x.type")), F.lit("QE"))
+    kind = F.lit("QE")
     ident = question_id(F.lit("AN"), leg, kind, number)
-    asked, said = first(F.col("x.textesQuestion.texteQuestion")), last(F.col("x.textesReponse.texteReponse"))
+    asked, said = first(F.col("x.textesQuestion.texteQuestion")), first(F.col("x.textesReponse.texteReponse"))
+    answered = F.coalesce(F.size("x.textesReponse.texteReponse") > 0, F.lit(False))
     text = blank_to_null(said["texte"])
     day = parse_day(said["infoJO"]["dateJO"])
     return q.select(
@@ -71,16 +72,16 @@ def parse_questions(df: DataFrame, element: str = "element") -> DataFrame:
         kind.alias("type"),
         F.lit("AN").alias("source"),
         leg.alias("legislature"),
-        F.when(text.isNotNull(), "REPONDU").otherwise("EN_COURS").alias("etat_question"),
+        F.when(answered, "REPONDU").otherwise("EN_COURS").alias("etat_question"),
         parse_day(asked["infoJO"]["dateJO"]).alias("date_publication_jo"),
-        F.col("x.cloture.infoJO.pageJO").try_cast("int").alias("page_jo"),
         F.coalesce(blank_to_null(last(F.col("x.minAttribs.minAttrib"))["denomination"]["developpe"]), blank_to_null(F.col("x.minInt.developpe"))).alias("ministre_libelle"),
         title().alias("objet"),
-        F.coalesce(asked["texte"], F.lit("")).alias("texte_question"),
+        F.coalesce(blank_to_null(asked["texte"]), F.lit("")).alias("texte_question"),
         reply_id(day, text, ident).alias("reponse_id"),
         text.alias("texte_reponse"),
         day.alias("date_reponse_jo"),
-        said["infoJO"]["pageJO"].try_cast("int").alias("page_reponse_jo"),
+        F.when(text.isNotNull(), F.when(day.isNotNull(), F.date_format(day, "yyyyMMdd")).otherwise("QE")).alias("no_publication"),
+        F.col("x.cloture.infoJO.pageJO").try_cast("int").alias("page_reponse_jo"),
     ).where("id is not null")
 
 

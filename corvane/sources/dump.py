@@ -86,7 +86,7 @@ def senate_questions(rows: DataFrame) -> DataFrame:
     q = q.where(F.trim("natquecod") == "QE").withColumn("leg", leg).withColumn("number", number).where((F.col("leg") >= FIRST_LEGISLATURE) & F.col("number").isNotNull())
     q = q.join(states, "sorquecod", "left").join(replies, F.col("id") == F.col("idque"), "left").join(theme_labels(q, "row_no", "themes", themes).withColumnRenamed("themes", "theme_labels"), "row_no", "left")
     state = state_of_label(F.col("sorquelib"))
-    answered = F.col("txtrep").isNotNull() | (state == "REPONDU")
+    settled, replied = state == "REPONDU", F.col("idque").isNotNull()
     ident = question_id(F.lit("SENAT"), F.col("leg"), F.lit("QE"), F.col("number"))
     out = q.select(
         "row_no",
@@ -104,10 +104,11 @@ def senate_questions(rows: DataFrame) -> DataFrame:
         F.col("circonscription").alias("auteur_circonscription"),
         F.col("titre").alias("titre_senat"),
         F.coalesce("txtque", F.lit("")).alias("texte_question"),
-        F.when(answered, F.concat(F.lit("SENAT-DUMP-"), ident)).alias("reponse_id"),
+        F.when(settled, F.concat(F.lit("SENAT-DUMP-"), ident)).alias("reponse_id"),
+        F.when(settled, F.lit("SENAT-DUMP")).alias("no_publication"),
         F.col("txtrep").alias("texte_reponse"),
-        F.when(answered, F.coalesce(stamp_day(F.col("datejorep")), stamp_day(F.col("datejorep1")))).alias("date_reponse_jo"),
-        F.when(answered, F.coalesce("minreplib", "minreplib1")).alias("ministre_reponse_libelle"),
+        F.coalesce(stamp_day(F.col("datejorep")), stamp_day(F.col("datejorep1"))).alias("date_reponse_jo"),
+        F.when(replied, F.coalesce("minreplib", "minreplib1")).when(settled, F.col("minreplib1")).alias("ministre_reponse_libelle"),
         F.col("theme_labels").alias("themes"),
     )
     return first_per_key(out, ["id", "row_no"], [F.col("row_no")])

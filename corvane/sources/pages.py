@@ -11,7 +11,7 @@ from corvane.functions.text import blank_to_null
 
 #: Elements whose text isn't shown, and those that end a line.
 HIDDEN = "script|style|noscript"
-BLOCKS = "p|div|br|li|tr|td|h1|h2|h3|h4|h5|h6|section|article|header|footer|ul|ol|table"
+BLOCKS = "p|br|div|li|td|th|h1|h2|h3|h4|h5"
 # The labels of a page's fields.
 FIELDS = {
     "objet": r"(?:Titre\s*:?|Question\s+(?:écrite|n[°º])\s*\d+\s*[-–]\s*)([^\n]+)",
@@ -23,14 +23,20 @@ FIELDS = {
     "texte_question": r"(?:Texte\s+de\s+la\s+question\s*:?\s*\n+)((?s:.+?))(?=\n\s*(?:Texte\s+de\s+la\s+r[eé]ponse|R[eé]ponse|$))",
     "texte_reponse": r"(?:Texte\s+de\s+la\s+r[eé]ponse\s*:?\s*\n+)((?s:.+?))(?=\n\s*(?:R[eé]f[eé]rence|Source|$))",
 }
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"), ("&amp;", "&"))
+#: Named characters of French pages; the ampersand comes last, so that nothing is decoded twice.
+_ENTITIES = (
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&agrave;", "à"), ("&acirc;", "â"), ("&ccedil;", "ç"),
+    ("&egrave;", "è"), ("&eacute;", "é"), ("&ecirc;", "ê"), ("&euml;", "ë"), ("&icirc;", "î"), ("&iuml;", "ï"), ("&ocirc;", "ô"), ("&ugrave;", "ù"), ("&ucirc;", "û"), ("&uuml;", "ü"),
+    ("&oelig;", "œ"), ("&Agrave;", "À"), ("&Ccedil;", "Ç"), ("&Egrave;", "È"), ("&Eacute;", "É"), ("&Ecirc;", "Ê"), ("&laquo;", "«"), ("&raquo;", "»"), ("&rsquo;", "’"), ("&lsquo;", "‘"),
+    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&euro;", "€"), ("&deg;", "°"), ("&sect;", "§"), ("&amp;", "&"),
+)
 
 
 def page_text(html: Column) -> Column:
     """The shown text of a page: a line break after each block, never more than one empty line."""
     t = F.regexp_replace(html, rf"(?is)<({HIDDEN})\b.*?</\1\s*>", "")
     t = F.regexp_replace(t, "(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, rf"(?i)</(?:{BLOCKS})\s*>|<br\s*/?>", "\n")
+    t = F.regexp_replace(t, rf"(?i)</(?:{BLOCKS})\s*>|<(?:{BLOCKS})\s*/>", "\n")
     t = F.regexp_replace(t, "(?s)<[^>]*>", "")
     for name, char in _ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))

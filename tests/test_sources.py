@@ -47,12 +47,14 @@ def test_bulk_and_reply(spark):
         "<textesQuestion><texteQuestion><infoJO><dateJO>2024-05-01</dateJO></infoJO><texte>Demande</texte></texteQuestion></textesQuestion>"
         "<textesReponse><texteReponse><infoJO><dateJO>02/06/2024</dateJO></infoJO><texte>Voici</texte></texteReponse></textesReponse><cloture><infoJO><pageJO>12</pageJO></infoJO></cloture>"
     )
-    doc = f"<questions>{xml(1, full, '')}{xml(2, '', '')}</questions>"
+    blank = "<textesReponse><texteReponse><texte> </texte></texteReponse></textesReponse>"
+    doc = f"<questions>{xml(1, full, '')}{xml(2, '', '')}{xml(3, blank, '')}</questions>"
     q = archives.parse_questions(archives.question_elements(spark.createDataFrame([(doc,)], "content string"), "content"))
     got = {r["numero_question"]: r for r in q.collect()}
     a = got[1]
-    assert (a["ministre_libelle"], a["texte_question"], a["texte_reponse"], a["page_jo"], a["etat_question"]) == ("Dernier", "Demande", "Voici", 12, "REPONDU")
+    assert (a["ministre_libelle"], a["texte_question"], a["texte_reponse"], a["page_reponse_jo"], a["etat_question"]) == ("Dernier", "Demande", "Voici", 12, "REPONDU")
     assert str(a["date_publication_jo"]) == "2024-05-01" and a["reponse_id"].startswith("AN-20240602-")
+    assert got[3]["etat_question"] == "REPONDU" and got[3]["reponse_id"] is None and got[3]["texte_reponse"] is None
     assert got[2]["etat_question"] == "EN_COURS" and got[2]["reponse_id"] is None and got[2]["texte_question"] == ""
 
 
