@@ -27,18 +27,24 @@ def hit_recall(ranked: DataFrame, mates: DataFrame, cuts: tuple[int, ...] = CUTS
 
 def rank_buckets(ranked: DataFrame, mates: DataFrame) -> DataFrame:
     """``bucket, n`` of the rank of each query's first true one."""
-    first = (
-        mates.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    )
+    first = first_ranks(ranked, mates)
     r = F.col("rank")
     bucket = F.when(r == 1, "1").when(r <= 3, "2-3").when(r <= 5, "4-5").when(r <= 10, "6-10").when(r <= 20, "11-20").otherwise("miss")
     return first.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def upper_median(c: Column) -> Column:
-    """The element at half the count of the sorted values: an exact percentile without interpolation."""
-    n = F.count(c)
-    return F.get(F.array_sort(F.collect_list(c)), (n / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """The element at half the count of a column's sorted values: from above, the first that half of them reach.
+
+    The aggregate keeps a count of each distinct value, not the values.
+    """
+    return F.expr(f"percentile_disc(0.5) within group (order by `{name}` desc)")
+
+
+def first_ranks(ranked: DataFrame, mates: DataFrame) -> DataFrame:
+    """``query_id, rank`` of each query's first true one, null for none."""
+    found = mates.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
+    return found.groupBy("query_id").agg(F.min("rank").alias("rank"))
 
 
 def threshold_recall(scored: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:

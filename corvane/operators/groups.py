@@ -21,10 +21,17 @@ def answered_together(questions: DataFrame, replies: DataFrame, least: int = 2)
     )
 
 
-def siblings(groups: DataFrame, group: str, member: str) -> DataFrame:
-    """Ordered pairs ``id, sibling`` of one group; for groups whose size the caller has bounded."""
-    a = groups.select(F.col(group).alias("g"), F.col(member).alias("id"))
-    b = groups.select(F.col(group).alias("g"), F.col(member).alias("sibling"))
+def members_together(questions: DataFrame, least: int = 2) -> DataFrame:
+    """``reponse_id, id, n_questions``: the same groups a row per member, for groups too large for an array."""
+    q = questions.select("id", "reponse_id").where("reponse_id is not null").distinct()
+    sizes = q.groupBy("reponse_id").agg(F.count("*").alias("n_questions")).where(F.col("n_questions") >= least)
+    return q.join(sizes, "reponse_id")
+
+
+def siblings(queries: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
+    """``g, id, sibling``: for each of the queries the other members of its group."""
+    a = queries.select(F.col(group).alias("g"), F.col(member).alias("id"))
+    b = members.select(F.col(group).alias("g"), F.col(member).alias("sibling"))
     return a.join(b, "g").where("id <> sibling").select("g", "id", "sibling")
 
 

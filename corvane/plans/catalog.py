@@ -154,21 +154,31 @@ def rank_distribution(t):
     return evaluate.rank_buckets(knn.nearest(e, _asked(e), "vec_id", "embedding", k=20), _mates(e))
 
 
+@query(
+    _NEAR
+    + _MATES
+    + """, f AS (SELECT g.query_id, min(r.rank) AS k FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.id = g.id AND r.rank <= 20 GROUP BY ALL)
+SELECT count(*) AS n_queries, count(k) AS found, round(avg(k), 4) AS mean_rank, CAST(list_sort(list(k) FILTER (k IS NOT NULL))[count(k) // 2 + 1] AS INTEGER) AS upper_median FROM f"""
+)
+def rank_summary(t):
+    e = t("embeddings")
+    first = evaluate.first_ranks(knn.nearest(e, _asked(e), "vec_id", "embedding", k=20), _mates(e))
+    return first.agg(F.count("*").alias("n_queries"), F.count("rank").alias("found"), F.round(F.avg("rank"), 4).alias("mean_rank"), evaluate.upper_median("rank").cast("int").alias("upper_median"))
+
+
 @query(
     _POINTS
-    + """, a AS (SELECT DISTINCT id AS qid, reponse_id FROM parsed_questions WHERE reponse_id IS NOT NULL),
-k AS (SELECT reponse_id FROM a GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50), b AS (SELECT a.* FROM a JOIN k USING (reponse_id)),
-z AS (SELECT x.qid, list_cosine_similarity(m1.v, m2.v) AS score FROM b x JOIN b y ON x.reponse_id = y.reponse_id AND x.qid <> y.qid LEFT JOIN m m1 ON m1.qid = x.qid LEFT JOIN m m2 ON m2.qid = y.qid),
+    + """, a AS (SELECT DISTINCT id AS qid, reponse_id, numero_question FROM parsed_questions WHERE reponse_id IS NOT NULL),
+z AS (SELECT x.qid, list_cosine_similarity(m1.v, m2.v) AS score FROM a x JOIN a y ON x.reponse_id = y.reponse_id AND x.qid <> y.qid AND x.numero_question % 20 = 0 LEFT JOIN m m1 ON m1.qid = x.qid LEFT JOIN m m2 ON m2.qid = y.qid),
 f AS (SELECT qid, count(*) AS n, count_if(score >= 0.75) AS c1, count_if(score >= 0.85) AS c2, count_if(score >= 0.95) AS c3 FROM z GROUP BY qid)
 SELECT 0.75::DOUBLE AS threshold, round(avg(c1 / n), 4) AS recall, round(avg(CASE WHEN c1 > 0 THEN 1.0 ELSE 0.0 END), 4) AS hit FROM f
 UNION ALL SELECT 0.85::DOUBLE, round(avg(c2 / n), 4), round(avg(CASE WHEN c2 > 0 THEN 1.0 ELSE 0.0 END), 4) FROM f
 UNION ALL SELECT 0.95::DOUBLE, round(avg(c3 / n), 4), round(avg(CASE WHEN c3 > 0 THEN 1.0 ELSE 0.0 END), 4) FROM f"""
 )
 def sibling_recall_threshold(t):
-    """Groups of more than fifty are no siblings but circulars, here as in the SQL."""
-    asked = t("parsed_questions").select("id", "reponse_id").where("reponse_id is not null").distinct()
-    small = asked.groupBy("reponse_id").count().where("count between 2 and 50").drop("count")
-    pairs = groups.siblings(asked.join(small, "reponse_id"), "reponse_id", "id")
+    """The queries are the questions whose number is divisible by 20."""
+    asked = t("parsed_questions").select("id", "reponse_id", "numero_question").where("reponse_id is not null").distinct()
+    pairs = groups.siblings(asked.where("numero_question % 20 = 0"), asked, "reponse_id", "id")
     v = _usable(_points(t)).select(F.get_json_object("payload", "$.question_id").alias("qid"), "vector")
     scored = (
         pairs.join(v.select(F.col("qid").alias("id"), F.col("vector").alias("a")), "id", "left")
@@ -399,6 +409,11 @@ def groups_together(t):
     return g.select("reponse_id", "source", F.date_format("date_reponse_jo", "yyyy-MM-dd").alias("day"), "n_questions", F.array_join("question_ids", ",").alias("question_ids"))
 
 
+@query("SELECT reponse_id, id, count(*) OVER (PARTITION BY reponse_id) AS n_questions FROM (SELECT DISTINCT id, reponse_id FROM parsed_questions WHERE reponse_id IS NOT NULL) QUALIFY n_questions >= 2")
+def members_together(t):
+    return groups.members_together(t("parsed_questions"))
+
+
 @query("WITH q AS (SELECT DISTINCT id, reponse_id FROM parsed_questions WHERE reponse_id IS NOT NULL), g AS (SELECT reponse_id, count(*) AS size FROM q GROUP BY ALL) SELECT size, count(*) AS n FROM g GROUP BY size")
 def group_size_histogram(t):
     q = t("parsed_questions").select("id", "reponse_id").where("reponse_id is not null").distinct()

@@ -129,7 +129,8 @@ def test_evaluation(spark):
     by = {r["k"]: (r["n_queries"], r["hit"], r["recall"]) for r in evaluate.hit_recall(ranked, mates, (1, 3, 5)).collect()}
     assert by == {1: (3, 0.0, 0.0), 3: (3, 0.3333, 0.1667), 5: (3, 0.6667, 0.5)}
     assert {tuple(r) for r in evaluate.rank_buckets(ranked, mates).collect()} == {("2-3", 1), ("4-5", 1), ("miss", 1)}
-    assert spark.createDataFrame([(1,), (9,), (5,), (7,)], "v int").agg(evaluate.upper_median(F.col("v"))).first()[0] == 7
+    for values, want in (([1, 9, 5, 7], 7), ([3, 1, 2], 2), ([4], 4), ([2, 2, 8, 8], 8)):
+        assert spark.createDataFrame([(v,) for v in values], "v int").agg(evaluate.upper_median("v")).first()[0] == want
     t = evaluate.threshold_recall(spark.createDataFrame([(1, 0.9), (1, None), (2, 0.1)], "query_id int, score double"), (0.5,)).first()
     assert (t["recall"], t["hit"]) == (0.25, 0.5)
     fails = spark.createDataFrame([("g", 1), ("g", 2), ("h", 3)], "g string, o int")
