@@ -28,6 +28,13 @@ def members_together(questions: DataFrame, least: int = 2) -> DataFrame:
     return q.join(sizes, "reponse_id")
 
 
+def restrict(groups: DataFrame, ids: DataFrame, group: str, member: str, least: int = 2) -> DataFrame:
+    """Groups (a row per member) cut down to listed members, those that keep enough of them."""
+    left = groups.join(ids.select(member).distinct(), member, "left_semi")
+    whole = left.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return left.join(whole, group)
+
+
 def siblings(queries: DataFrame, members: DataFrame, group: str, member: str) -> DataFrame:
     """``g, id, sibling``: for each of the queries the other members of its group."""
     a = queries.select(F.col(group).alias("g"), F.col(member).alias("id"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane import plugins
 from corvane.functions import dates, ids, labels, text
 from corvane.functions.splitter import split_text
 from corvane.operators import evaluate, groups, incremental, knn, merge
@@ -414,6 +415,31 @@ def members_together(t):
     return groups.members_together(t("parsed_questions"))
 
 
+@query(
+    "SELECT reponse_id, id, count(*) OVER (PARTITION BY reponse_id) AS n FROM (SELECT DISTINCT id, reponse_id FROM parsed_questions WHERE reponse_id IS NOT NULL AND id IN (SELECT question_id FROM question_bureau_extract)) QUALIFY n >= 2"
+)
+def restricted_groups(t):
+    q = t("parsed_questions").select("id", "reponse_id").where("reponse_id is not null").distinct()
+    return groups.restrict(q, t("question_bureau_extract").select(F.col("question_id").alias("id")), "reponse_id", "id").select("reponse_id", "id", "n")
+
+
+@query()
+def embedded_texts(t):
+    """The local stand-in of the embedding service over every question's text."""
+    return plugins.embed(_texts(t), "id", "texte_question", plugins.HashEmbedder)
+
+
+@query()
+def reranked(t):
+    """The nearest points of the query set, in the order that the local stand-in of the reranker gives their previews."""
+    p = _points(t)
+    near = knn.nearest(p, p.where(_number("payload") % 20 == 0), "id", "vector", k=10)
+    shown = p.select("id", F.get_json_object("payload", "$.texte_preview").alias("text")).where("text is not null")
+    asked = shown.select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    scores = plugins.rerank_groups(near.select("query_id", "id").join(shown, "id").join(asked, "query_id"), plugins.OverlapReranker)
+    return knn.rerank(near, scores)
+
+
 @query("WITH q AS (SELECT DISTINCT id, reponse_id FROM parsed_questions WHERE reponse_id IS NOT NULL), g AS (SELECT reponse_id, count(*) AS size FROM q GROUP BY ALL) SELECT size, count(*) AS n FROM g GROUP BY size")
 def group_size_histogram(t):
     q = t("parsed_questions").select("id", "reponse_id").where("reponse_id is not null").distinct()
