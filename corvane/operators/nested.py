@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import spread
+
 
 @dataclass(frozen=True)
 class NodeKind:
@@ -147,7 +149,7 @@ def linked_table(df: DataFrame, key: str, payload: str, child: NodeKind, parent:
 
 
 def _flat(df: DataFrame, key: str, payload: str, child: NodeKind, parent: NodeKind | None) -> DataFrame:
-    src = df.select(F.col(key), F.col(payload).cast("string").alias("__payload"))
+    src = spread(df.select(F.col(key), F.col(payload).cast("string").alias("__payload")))
     sides = [("", child)] + ([("parent_", parent)] if parent else [])
     schema = T.StructType([src.schema[key]])
     for prefix, kind in sides:

@@ -13,7 +13,7 @@ from corvane.operators.instants import instant_us
 from corvane.operators.nested import NodeKind, linked_table
 from corvane.operators.packed import explode_values
 from corvane.operators.snapshots import snapshot_changes
-from corvane.session import load
+from corvane.session import load, spread
 
 QUESTION = NodeKind("questionsEcrites", "question", {"numero": "identifiant.numero", "legislature": "identifiant.legislature"})
 REPLY = NodeKind("textesReponse", "texteReponse", {"texte": "texte", "date_jo": "infoJO.dateJO"})
@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     def moments(table: str, fields: list[str]) -> DataFrame:
         # generated rows, filtered after: each text is read once, and a table scanned once for all its fields
         found = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), instant_us(F.col(f)).alias("utc_us")) for f in fields]))
-        rows = load(spark, root, table).select(F.col("id").cast("string").alias("rec_id"), found)
+        rows = spread(load(spark, root, table).select("id", *fields)).select(F.col("id").cast("string").alias("rec_id"), found)
         return rows.where(F.col("utc_us").isNotNull()).select("field", "rec_id", "utc_us")
 
     return reduce(DataFrame.unionAll, [moments(*p) for p in parts]).distinct()
