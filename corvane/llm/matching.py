@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.session import spread
+
 #: A reference list may have this many entries; a longer one isn't collected.
 MAX_ENTRIES = 50_000
 #: Values a task remembers. A forgotten one is searched again.
@@ -253,7 +255,7 @@ def collect_list(df: DataFrame, *columns: str) -> list[tuple]:
 
 def match_columns(df: DataFrame, key: str, inputs: list[str], make: Callable[[], Callable[..., list[tuple[str, int]]]]) -> DataFrame:
     """``field, rec_id, ref_id`` of each row: what the matcher that ``make`` builds once a task gives for the inputs."""
-    src = df.select(F.col(key).cast("string").alias("rec_id"), *[F.col(c).cast("string").alias(f"in_{i}") for i, c in enumerate(inputs)])
+    src = spread(df.select(F.col(key).cast("string").alias("rec_id"), *[F.col(c).cast("string").alias(f"in_{i}") for i, c in enumerate(inputs)]))
     schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("rec_id", T.StringType()), T.StructField("ref_id", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
