@@ -752,3 +752,15 @@ def state_change_log(t):
 
     at = lambda n: t("question_snapshots").where(F.col("snapshot_no") == n).groupBy("id").agg(F.max("etat_question").alias("s"))
     return state_changes(at(1), at(2), "id", "s")
+
+
+@query(
+    """WITH q AS (SELECT source, snapshot_no, id, max(etat_question) AS s FROM question_snapshots WHERE source IS NOT NULL AND snapshot_no IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+d AS (SELECT source, snapshot_no, lag(snapshot_no) OVER (PARTITION BY source ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT source, snapshot_no FROM q))
+SELECT b.source, b.snapshot_no, b.id, a.s AS old, b.s AS new FROM q b JOIN d USING (source, snapshot_no) LEFT JOIN q a ON a.source = b.source AND a.id = b.id AND a.snapshot_no = d.before
+WHERE d.before IS NOT NULL AND a.s IS DISTINCT FROM b.s"""
+)
+def state_change_log_all(t):
+    from corvane.streaming.feeds import delivery_changes
+
+    return delivery_changes(t("question_snapshots"), "id", "etat_question")

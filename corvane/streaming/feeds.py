@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -48,3 +48,20 @@ def state_changes(before: DataFrame, after: DataFrame, key: str, state: str) ->
     a = before.select(F.col(key), F.col(state).alias("old"))
     b = after.select(F.col(key), F.col(state).alias("new"))
     return b.join(a, key, "left").where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "old", "new")
+
+
+def delivery_changes(deliveries: DataFrame, key: str, state: str, *, source: str = "source", number: str = "snapshot_no") -> DataFrame:
+    """``source, number, key, old, new`` of every row whose state is another than in the delivery before; keys that one hasn't have no old state.
+
+    The state of a key in a delivery is the greatest of its rows. Neighbours are the deliveries present, so a gap in the numbering is none; the first
+    delivery of a source gives no rows, nor do rows with a null source, number or key.
+    """
+    rows = deliveries.where(F.col(source).isNotNull() & F.col(number).isNotNull() & F.col(key).isNotNull())
+    line = Window.partitionBy(source).orderBy(number)
+    before = rows.select(source, number).distinct().withColumn("__before", F.lag(number).over(line))
+    own = Window.partitionBy(source, key).orderBy(number)
+    states = rows.groupBy(source, key, number).agg(F.max(state).alias("new"))
+    states = states.withColumn("__seen", F.lag(number).over(own)).withColumn("__old", F.lag("new").over(own))
+    out = states.join(before.where("__before is not null"), [source, number])
+    out = out.withColumn("old", F.when(F.col("__seen") == F.col("__before"), F.col("__old")))
+    return out.where(~F.col("old").eqNullSafe(F.col("new"))).select(source, number, key, "old", "new")

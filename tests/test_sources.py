@@ -181,3 +181,15 @@ def test_streams(spark, tmp_path):
     got = {tuple(r)[:3] for r in spark.read.parquet(f"{snap}/{state['at']}").collect()}
     assert got == {("a", "REPONDU", "o"), ("b", "EN_COURS", "p")}
     assert {tuple(r) for r in feeds.state_changes(spark.createDataFrame([("a", "x")], "id string, s string"), spark.createDataFrame([("a", "y"), ("b", "z")], "id string, s string"), "id", "s").collect()} == {("a", "x", "y"), ("b", None, "z")}
+
+
+def test_every_delivery_is_compared_with_the_one_before(spark):
+    rows = [
+        ("AN", 1, "a", "EN_COURS"), ("AN", 1, "b", "EN_COURS"), ("AN", 2, "a", "EN_COURS"), ("AN", 2, "a", "REPONDU"), ("AN", 3, "a", "RETIRE"), ("AN", 3, "b", "EN_COURS"),
+        ("SENAT", 3, "s", "EN_COURS"), ("SENAT", 5, "s", "REPONDU"), ("SENAT", 7, "s", "REPONDU"), ("SENAT", 7, "t", None), ("X", 1, "x", "EN_COURS"), (None, 2, "y", "REPONDU"),
+    ]
+    df = spark.createDataFrame(rows, "source string, snapshot_no int, id string, etat_question string")
+    got = [tuple(r) for r in feeds.delivery_changes(df, "id", "etat_question").collect()]
+    # b is missing from delivery 2, so in 3 it has no old state
+    want = [("AN", 2, "a", "EN_COURS", "REPONDU"), ("AN", 3, "a", "REPONDU", "RETIRE"), ("AN", 3, "b", None, "EN_COURS"), ("SENAT", 5, "s", "EN_COURS", "REPONDU")]
+    assert sorted(got) == sorted(want)
