@@ -660,6 +660,17 @@ def theme_resolve(t):
     return theme_labels(raw, "id", "themes_raw", t("the_themes")).select("id", F.array_join("themes", "|").alias("themes"))
 
 
+@query(
+    f"""WITH c AS (SELECT DISTINCT id, string_split(themes_raw, '#') AS parts FROM tam_questions WHERE themes_raw IS NOT NULL), u AS (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM c)
+SELECT u.id, string_agg(thelib, '|' ORDER BY pos) AS themes FROM u JOIN the_themes th ON CAST(th.thecle AS VARCHAR) = regexp_replace(part, '^{_SPACE}+|{_SPACE}+$', '', 'g') GROUP BY u.id"""
+)
+def theme_resolve_all(t):
+    from corvane.sources.dump import theme_labels
+
+    raw = t("tam_questions").select("id", "themes_raw").distinct()
+    return theme_labels(raw, "id", "themes_raw", t("the_themes")).select("id", F.array_join("themes", "|").alias("themes"))
+
+
 # incremental work and logs
 
 

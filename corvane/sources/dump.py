@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corvane.functions.dates import stamp_day
 from corvane.functions.ids import plain_number, question_id
 from corvane.functions.labels import state_of_label
+from corvane.functions.text import strip
 from corvane.operators.merge import first_per_key
 
 #: Fixed value: the header of a block.
@@ -61,8 +62,8 @@ def table_of(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
 
 
 def theme_labels(raw: DataFrame, key: str, codes: str, themes: DataFrame) -> DataFrame:
-    """``key, themes``: the labels of ``#2#14#`` in order, unknown codes left out, null where none is known."""
-    coded = raw.select(F.col(key), F.posexplode(F.filter(F.split(codes, "#"), lambda x: x != "")).alias("pos", "code"))
+    """``key, themes``: the labels of ``#2#14#`` in order, white space around a code and unknown codes left out; no row where none is known."""
+    coded = raw.select(F.col(key), F.posexplode(F.filter(F.transform(F.split(codes, "#"), strip), lambda x: x != "")).alias("pos", "code"))
     named = coded.join(themes.select(F.col("thecle").cast("string").alias("code"), "thelib"), "code")
     return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "thelib"))), lambda x: x["thelib"]).alias("themes"))
 

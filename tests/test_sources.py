@@ -3,6 +3,7 @@ import pickle
 import zipfile
 
 import pytest
+from conftest import DATA, needs_data
 from pyspark.sql import functions as F
 
 from corvane import plugins
@@ -193,3 +194,19 @@ def test_every_delivery_is_compared_with_the_one_before(spark):
     # b is missing from delivery 2, so in 3 it has no old state
     want = [("AN", 2, "a", "EN_COURS", "REPONDU"), ("AN", 3, "a", "REPONDU", "RETIRE"), ("AN", 3, "b", None, "EN_COURS"), ("SENAT", 5, "s", "EN_COURS", "REPONDU")]
     assert sorted(got) == sorted(want)
+
+
+def test_themes_of_any_text_are_resolved(spark):
+    raw = spark.createDataFrame([(1, "#2# 14 #"), (2, "36"), (3, "5#"), (4, "Tourisme#Budget#9#Logement#2"), (5, "#\u00a05\t#99#"), (6, "26, 6"), (7, None), (8, " # ")], "id int, c string")
+    themes = spark.createDataFrame([(2, "b"), (5, "e"), (9, "i"), (14, "n"), (36, "z")], "thecle int, thelib string")
+    got = {r["id"]: r["themes"] for r in dump.theme_labels(raw, "id", "c", themes).collect()}
+    assert got == {1: ["b", "n"], 2: ["z"], 3: ["e"], 4: ["i", "b"], 5: ["e"]}
+
+
+@needs_data
+def test_theme_query_keeps_rows_of_other_forms(spark):
+    import __spark_entry__ as entry
+
+    got = {r["id"] for r in entry.queries()["theme_resolve_all"](spark, DATA).collect()}
+    held = {r["id"] for r in spark.read.parquet(f"{DATA}/tam_questions.parquet").where("themes_raw rlike '^[0-9]{1,2}$'").collect()}
+    assert held and held <= got
