@@ -1,10 +1,12 @@
 """A vector collection over files: filters, point access, keyed writes.
 
-A point is ``id, vector, payload``, the payload JSON text. Every write gives a new snapshot of the collection.
+A point is ``id, vector, payload``, the payload JSON text. Points lie in buckets of their id's hash; a write makes anew only the
+buckets it touches, and gives a new version of the collection.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corvane.operators.knn import nearest
 from corvane.operators.merge import replace_by_key
-from corvane.operators.stores import SnapshotFolder
+from corvane.operators.stores import BucketedFolder
+from corvane.session import stage, unstage
 
 SCHEMA = "id string, vector array<float>, payload string"
 
@@ -51,7 +54,7 @@ class Collection:
         if name not in known:
             raise ValueError(f"unknown collection: {name}")
         self.spark, self.name = spark, name
-        self.store = SnapshotFolder(spark, f"{root.rstrip('/')}/{name}", SCHEMA)
+        self.store = BucketedFolder(spark, f"{root.rstrip('/')}/{name}", SCHEMA, "id")
 
     def exists(self) -> bool:
         return self.store.info() is not None
@@ -65,22 +68,22 @@ class Collection:
             raise ValueError(f"no such collection: {self.name}")
         return self.store.rows()
 
-    def _write(self, df: DataFrame, size: int) -> None:
-        self.store.replace(df, size=size)
-
     def create(self, size: int) -> None:
         """An empty collection; an existing one must have the same size."""
         have = self.vector_size()
         if have is not None and have != size:
             raise ValueError(f"{self.name} has vectors of {have}, not {size}")
         if have is None:
-            self._write(self.spark.createDataFrame([], SCHEMA), size)
+            self.store.write(self.spark.createDataFrame([], SCHEMA), size=size)
 
     def get(self, ident: str, with_vector: bool = False) -> DataFrame:
         return self.get_many([ident], with_vector).limit(1)
 
     def get_many(self, ids: list[str], with_vector: bool = True) -> DataFrame:
-        found = self.points().where(F.col("id").isin(ids))
+        if not self.exists():
+            raise ValueError(f"no such collection: {self.name}")
+        wanted = self.spark.createDataFrame([(str(i),) for i in ids], "id string")
+        found = self.store.rows(self.store.buckets_of(wanted)).where(F.col("id").isin([str(i) for i in ids]))
         return found if with_vector else found.drop("vector")
 
     def scroll(self, spec: dict | None = None, with_vector: bool = True) -> DataFrame:
@@ -88,27 +91,56 @@ class Collection:
         found = self.points() if cond is None else self.points().where(cond)
         return found if with_vector else found.drop("vector")
 
-    def upsert(self, points: DataFrame) -> None:
-        """Points by id, the new ones counting; null vectors are left out, one of another size is an error."""
+    def upsert(self, points: DataFrame, order: Sequence[str] = ()) -> None:
+        """Points by id, the new ones counting; null vectors are left out, one of another size than the collection's is an error.
+
+        A collection that isn't there yet is made with the size of the vectors, which must all have the same. Of points repeated under one id the
+        last in the given order counts, at a tie the one whose payload and vector come last.
+        """
+        fresh = points.select("id", F.col("vector").cast("array<float>").alias("vector"), "payload", *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)]).where("id is not null and vector is not null")
+        sizes = fresh.agg(F.min(F.size("vector")).alias("least"), F.max(F.size("vector")).alias("most")).first()
         size = self.vector_size()
-        fresh = points.select("id", F.col("vector").cast("array<float>"), "payload").where("vector is not null")
-        if fresh.where(F.size("vector") != size).limit(1).count():
-            raise ValueError(f"{self.name} takes vectors of {size}")
-        self._write(replace_by_key(self.points(), fresh.dropDuplicates(["id"]), ["id"]), size)
+        if sizes["least"] is None:
+            return
+        if size is None:
+            size = sizes["least"]
+        if not sizes["least"] == sizes["most"] == size:
+            raise ValueError(f"{self.name} takes vectors of {size}, not {sizes['least']} to {sizes['most']}")
+        if not self.exists():
+            self.create(size)
+        ranked = F.struct(*[f"__o{i}" for i in range(len(order))], "payload", "vector")
+        fresh = stage(fresh.groupBy("id").agg(F.max(ranked).alias("r")).select("id", "r.vector", "r.payload"), "points")
+        touched = self.store.buckets_of(fresh)
+        self.store.write(replace_by_key(self.store.rows(touched), fresh, ["id"]), touched)
+        unstage(fresh)
 
     def delete(self, spec: dict) -> None:
         """Points a filter fits; a filter without clauses is refused."""
         cond = compile_filter(spec)
         if cond is None:
             raise ValueError("a delete needs a filter")
-        self._write(self.points().where(~F.coalesce(cond, F.lit(False))), self.vector_size())
+        points = self.points()
+        touched = self.store.buckets_of(points.where(cond))
+        if touched:
+            self.store.write(self.store.rows(touched).where(~F.coalesce(cond, F.lit(False))), touched)
+
+    def delete_ids(self, ids: DataFrame) -> int:
+        """Points by id (a table of them, however long); how many there were."""
+        points = self.points()
+        gone = stage(points.select("id").join(ids.select(F.col("id").cast("string").alias("id")), "id", "left_semi"), "gone")
+        touched = self.store.buckets_of(gone)
+        n = gone.count()
+        if touched:
+            self.store.write(self.store.rows(touched).join(gone, "id", "left_anti").select("id", "vector", "payload"), touched)
+        unstage(gone)
+        return n
 
     def truncate(self) -> bool:
         """Empties the collection; whether points were removed."""
         if not self.exists():
             return False
         had = not self.points().isEmpty()
-        self._write(self.spark.createDataFrame([], SCHEMA), self.vector_size())
+        self.store.write(self.spark.createDataFrame([], SCHEMA))
         return had
 
     def search(self, queries: DataFrame, k: int, spec: dict | None = None, least: float | None = None) -> DataFrame:

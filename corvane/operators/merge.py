@@ -12,6 +12,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.session import stage
+
 
 class Policy(Enum):
     """What a column takes from the existing and the incoming row."""
@@ -101,13 +103,14 @@ def upsert_replies(existing: DataFrame, incoming: DataFrame, order: Sequence[str
 def get_or_create(existing: DataFrame, labels: DataFrame, label: str, ident: str = "id") -> DataFrame:
     """The dimension with a row for every label; new ids go on from the highest, in the labels' order.
 
-    Numbers are given per range of the sorted labels, so no task sorts them all.
+    Numbers are given per range of the sorted labels, so no task sorts them all. The ranges are written once: their bounds are
+    drawn anew in each run, so counts and numbers must come from one and the same run.
     """
     wanted = labels.select(F.col(label).alias(label)).where(F.col(label).isNotNull()).distinct()
     new = wanted.join(existing.select(label), label, "left_anti")
     top = existing.agg(F.coalesce(F.max(ident), F.lit(0)).alias("top")).first()["top"]
-    ranged = new.repartitionByRange(F.col(label)).sortWithinPartitions(label).withColumn("__p", F.spark_partition_id())
-    counts = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # one row a partition
+    ranged = stage(new.repartitionByRange(F.col(label)).withColumn("__p", F.spark_partition_id()), "labels")
+    counts = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}  # one row a range
     before, total = {}, int(top)
     for p in sorted(counts):
         before[p] = total

@@ -20,14 +20,16 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session without the setting and without a checkpoint folder (a local test) gets a
-    temporary one.
+    Only a local session without the setting and without a checkpoint folder gets a temporary one; on a
+    cluster a machine's own folder would lose rows, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         own = os.path.join(tempfile.gettempdir(), f"corvane-{os.getuid()}")
         spark.sparkContext.setCheckpointDir(own)
         own = spark.sparkContext.getCheckpointDir()
@@ -47,12 +49,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
 _folders: set[str] = set()
 
 
+def unstage(*staged: DataFrame) -> None:
+    """Removes tables of ``stage`` that nothing reads any more, before the program ends."""
+    for df in staged:
+        _remove(df.sparkSession, df._staged_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables this application staged: for a long application, between queries whose results are written."""
+    _remove(spark, f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}")
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     """Staged tables go with the program that wrote them; a folder left behind does no harm."""
     try:

@@ -39,6 +39,20 @@ def test_get_or_create(spark):
     assert {tuple(r) for r in got.collect()} == {(3, "b"), (4, "a"), (5, "c")}
 
 
+def test_get_or_create_of_many_labels(spark):
+    labels = spark.range(2_000_000).select(F.sha2(F.col("id").cast("string"), 256).alias("l"))
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            got = merge.get_or_create(spark.createDataFrame([(3, "b")], "int_id int, l string").withColumnRenamed("int_id", "id"), labels, "l")
+            r = got.agg(F.count("*").alias("n"), F.countDistinct("id").alias("d"), F.max("id").alias("top")).first()
+            assert tuple(r) == (2_000_001, 2_000_001, 2_000_003)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    first = got.where("id <> 3").orderBy("l").limit(3).select("id").collect()
+    assert [r["id"] for r in first] == [4, 5, 6]
+
+
 def test_dedup(spark):
     r = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y"), ("4", ""), ("5", ""), ("6", None)], "id string, t string")
     m = merge.canonical_map(r, "id", "t")
@@ -75,8 +89,16 @@ def test_collection(spark, tmp_path):
         c.upsert(spark.createDataFrame([("z", [1.0], "{}")], point))
     with pytest.raises(ValueError):
         c.delete({})
+    c.upsert(spark.createDataFrame([("m", [1.0, 2.0], "{}", 2), ("m", [3.0, 4.0], "{}", 1), ("b", [0.5, 1.0], "{}", 1)], point + ", no int"), ["no"])
+    assert {r["id"]: r["vector"] for r in c.points().collect()} == {"a": [1.0, 0.0], "b": [0.5, 1.0], "m": [1.0, 2.0]}
+    assert c.delete_ids(spark.createDataFrame([("m",), ("nn",)], "id string")) == 1
     c.delete({"must": [{"key": "s", "match": {"value": "AN"}}]})
     assert [r["id"] for r in c.points().collect()] == ["b"]
+    other = Collection(spark, str(tmp_path), "answers_opendata")
+    other.upsert(spark.createDataFrame([("x", None, "{}")], point))
+    assert not other.exists()
+    other.upsert(spark.createDataFrame([("y", [1.0, 2.0, 3.0], "{}")], point))
+    assert other.vector_size() == 3
     assert c.truncate() is True and c.truncate() is False
 
 

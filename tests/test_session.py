@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from corvane.session import process_cache, shared_dir, spread, stage
+from corvane.session import process_cache, shared_dir, spread, stage, unstage
 
 
 def test_staged_tables_lie_in_the_shared_folder(spark):
@@ -19,3 +20,30 @@ def test_spread(spark):
 def test_process_cache():
     process_cache()["a"] = 1
     assert process_cache()["a"] == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master = "spark://x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())
+
+
+def test_unstage(spark):
+    import os
+
+    df = stage(spark.range(3), "gone")
+    assert df.count() == 3 and os.path.isdir(df._staged_at)
+    unstage(df)
+    assert not os.path.exists(df._staged_at)

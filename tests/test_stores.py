@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators.stores import chunk_cache, delete_hashes, manifest, reset
+from corvane.operators.stores import chunk_cache, delete_hashes, manifest, path_variants, reset
 from corvane.sources import fetch
 
 HTML = "<p>Texte de la question :</p>\n<p>Pourquoi ?</p><p>Réponse</p>"
@@ -16,10 +16,40 @@ def test_stores(spark, tmp_path):
     assert m.delete(F.col("path") == "zz") == 0 and m.delete(F.col("path") == "a/x") == 1
     c.upsert(spark.createDataFrame([("s", "4", "[]"), ("t", "4", "[]"), ("s", "9", "[]"), ("s", "3", "[]")], "strategy string, document_hash string, chunks string"))
     assert delete_hashes(c, ["9", "9"]) == 1 and delete_hashes(c, []) == 0
-    assert reset(m, c, ["a/", "a/"]) == (1, 2)
+    assert reset(m, c, "/data/zz", base="/data") == (0, 0, False)
+    assert reset(m, c, "/data/a", base="/data", truncate=lambda: True) == (1, 2, True)
     assert [r["path"] for r in m.rows().collect()] == ["b/z"] and c.rows().count() == 1
     with pytest.raises(ValueError):
-        reset(m, c, [])
+        reset(m, c, "")
+    assert path_variants("/data/a/", "/data") == ["/data/a/", "/data/a", "a", "a/"] and path_variants("x") == ["x", "x/"]
+
+
+def test_a_write_cut_off_leaves_the_version_before(spark, tmp_path):
+    m = manifest(spark, str(tmp_path / "m"))
+    put = lambda h: m.upsert(spark.createDataFrame([("a", h)], "path string, document_hash string"))
+    put("1")
+    (tmp_path / "m" / "version-000000000002.json").write_text('{"folder": "ro')  # a pointer half written
+    assert m.rows().first()["document_hash"] == "1"
+    (tmp_path / "m" / "version-000000000003.json").write_text('{"folder": "rows-gone"}')  # data that isn't there
+    assert m.rows().first()["document_hash"] == "1"
+    (tmp_path / "m" / "rows-lost").mkdir()  # data without a pointer
+    put("2")
+    assert m.rows().first()["document_hash"] == "2"
+    old = m.rows()
+    for h in "345":
+        put(h)
+        if h == "4":
+            assert old.first()["document_hash"] == "2"  # a reader two versions behind
+    assert m.rows().first()["document_hash"] == "5" and len(list((tmp_path / "m").glob("version-*.json"))) <= 5
+
+
+def test_two_writers_cannot_take_one_number(spark, tmp_path):
+    m = manifest(spark, str(tmp_path / "m"))
+    m.upsert(spark.createDataFrame([("a", "1")], "path string, document_hash string"))
+    m._numbers = lambda: []  # as if the other writer's pointer wasn't there yet
+    with pytest.raises(Exception):
+        m.upsert(spark.createDataFrame([("a", "2")], "path string, document_hash string"))
+    assert manifest(spark, str(tmp_path / "m")).rows().first()["document_hash"] == "1"
 
 
 def test_fetch(spark):
