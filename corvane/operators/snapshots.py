@@ -1,9 +1,9 @@
 """Changes between full deliveries of a table.
 
-Keys get persistent ordinals; each delivery is a compressed bitmap over them. Additions and removals
-are AND-NOT of neighbouring bitmaps, changes are found by comparing ordinal-aligned column vectors
-under the AND. Keys are dealt to buckets by hash, so a source that holds most rows is split, and the
-whole derivation takes one shuffle.
+Keys get persistent ordinals, kept in a dictionary (``Ordinals``); each delivery is a compressed bitmap over them.
+Additions and removals are AND-NOT of neighbouring bitmaps, changes are found by comparing ordinal-aligned
+column vectors under the AND. Keys are dealt to buckets by hash, so a source that holds most rows is
+split; rows and dictionary meet bucket by bucket, with one shuffle of the rows.
 
 Defined cases
 * Of several rows of one key in one delivery the latest load time counts; at a tie the row whose
@@ -14,6 +14,8 @@ Defined cases
 * The first delivery of a source, and a source with one delivery, gives no rows. A gap in the numbering
   is no delivery: neighbours are the deliveries present.
 * An empty table gives an empty result; other columns are not read.
+* A dictionary says how many buckets its ordinals were given in. It grows only to a multiple of that number: then keys
+  of different buckets never meet in one, and every ordinal stays its key's. Another number of buckets is an error.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.stores import SnapshotFolder
+from corvane.session import stage
+
 #: Rows of one bucket, about; a task holds one bucket at a time.
 BUCKET_ROWS = 200_000
 #: A table of deliveries is broadcast up to this many rows, and joined by shuffle beyond.
@@ -105,17 +110,19 @@ def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(pc.fill_null(pc.dictionary_encode(column).combine_chunks().indices, -1)).astype(np.int64)
 
 
-def _diff(table: pa.Table, columns: Sequence[str], names: tuple[str, str, str]) -> pa.Table:
+def _diff(table: pa.Table, columns: Sequence[str], names: tuple[str, str, str], known: pa.Table | None = None) -> pa.Table:
     source, number, key = names
     ids = pc.dictionary_encode(table.column(key)).combine_chunks()
     rank = np.empty(len(ids.dictionary), np.int64)
     rank[np.asarray(pc.sort_indices(ids.dictionary))] = np.arange(len(rank))
     # keys with an ordinal keep it; new ones follow in key order
     held = np.full(len(rank), -1, np.int64)
-    if "__ordinal" in table.column_names:
-        np.maximum.at(held, np.asarray(ids.indices), np.asarray(pc.fill_null(table.column("__ordinal"), -1)).astype(np.int64))
+    if known is not None and known.num_rows and len(rank):
+        at = pc.index_in(ids.dictionary, value_set=known.column(key).combine_chunks())
+        held = np.asarray(pc.fill_null(known.column("ordinal").combine_chunks().take(at), -1)).astype(np.int64)
     fresh = np.flatnonzero(held < 0)
-    held[fresh[np.argsort(rank[fresh])]] = held.max(initial=-1) + 1 + np.arange(len(fresh))
+    top = max(held.max(initial=-1), -1 if known is None else pc.max(known.column("ordinal")).as_py() or -1)
+    held[fresh[np.argsort(rank[fresh])]] = top + 1 + np.arange(len(fresh))
     persistent = held[np.asarray(ids.indices)]
     place = np.argsort(held)
     by_ordinal, ordinals_held = ids.dictionary.take(pa.array(place)), held[place]
@@ -174,21 +181,58 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets))
 
 
-def key_ordinals(df: DataFrame, buckets: int, known: DataFrame | None = None, *, source: str = "source", key: str = "id") -> DataFrame:
-    """``source, bucket, key, ordinal``: the dictionary of keys to ordinals within their bucket, to be stored.
+def key_ordinals(
+    df: DataFrame, buckets: int | None = None, known: DataFrame | None = None, *, source: str = "source", key: str = "id", bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
+    """``source, key, ordinal, buckets``: the dictionary of keys to ordinals within their bucket, to be stored.
 
-    Keys of ``known``, an earlier dictionary of as many buckets, keep their ordinals; new ones go on from the highest.
+    Keys of ``known``, an earlier dictionary, keep their ordinals; new ones go on from the highest of their bucket. The number of buckets is the
+    earlier one, doubled as often as the rows ask for, unless it is given; one that isn't a multiple of the earlier is an error.
     """
     keys = df.select(F.col(source).cast("string").alias(source), F.col(key).cast("string").alias(key)).where(F.col(source).isNotNull() & F.col(key).isNotNull()).distinct()
-    keys = keys.withColumn("bucket", _bucket(F.col(key), buckets))
-    if known is None:
+    before = buckets_of(known)
+    if buckets is None:
+        need = max(1, -(-df.count() // bucket_rows))
+        buckets = before or need
+        while buckets < need:
+            buckets *= 2
+    if before and buckets % before:
+        raise ValueError(f"ordinals given in {before} buckets hold in a multiple of them, not in {buckets}")
+    if known is None or not before:
         keys = keys.withColumn("held", F.lit(None).cast("bigint"))
     else:
-        keys = keys.join(known.select(source, key, F.col("ordinal").alias("held")), [source, key], "full").withColumn("bucket", _bucket(F.col(key), buckets))
-    own = Window.partitionBy(source, "bucket")
+        keys = keys.join(known.select(source, key, F.col("ordinal").alias("held")), [source, key], "full")
+    keys = keys.withColumn("__bucket", _bucket(F.col(key), buckets))
+    own = Window.partitionBy(source, "__bucket")
     top = F.coalesce(F.max("held").over(own), F.lit(-1))
     turn = F.row_number().over(own.orderBy(F.col("held").isNotNull(), key))
-    return keys.select(source, "bucket", key, F.coalesce("held", top + turn).alias("ordinal"))
+    return keys.select(source, key, F.coalesce("held", top + turn).cast("bigint").alias("ordinal"), F.lit(buckets).alias("buckets"))
+
+
+def buckets_of(known: DataFrame | None) -> int | None:
+    """The number of buckets a dictionary's ordinals were given in; None for none or an empty one."""
+    row = None if known is None else known.select("buckets").first()
+    return row and row[0]
+
+
+class Ordinals(SnapshotFolder):
+    """A stored dictionary of keys to ordinals, the same from run to run."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark, folder, "source string, id string, ordinal bigint, buckets int")
+
+    def extend(self, df: DataFrame, *, source: str = "source", key: str = "id", buckets: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        """The dictionary with the keys of ``df`` in it; it is written anew only where keys or buckets are."""
+        named = df.select(F.col(source).cast("string").alias("source"), F.col(key).cast("string").alias("id"))
+        known = self.rows() if self.info() is not None else None
+        fresh = key_ordinals(named, buckets, known, bucket_rows=bucket_rows)
+        if known is not None:
+            same = buckets_of(known) == buckets_of(fresh.limit(1))
+            wanted = named.where("source is not null and id is not null")
+            if same and wanted.join(known, ["source", "id"], "left_anti").isEmpty():
+                return known
+        self.replace(fresh)
+        return self.rows()
 
 
 def snapshot_changes(
@@ -206,22 +250,24 @@ def snapshot_changes(
 ) -> DataFrame:
     """``source, number, key, change_kind`` of every key added, removed or changed against the delivery before.
 
-    ``columns`` are compared; those in ``codes`` without leading zeros. ``bucket_rows`` sizes the buckets from
-    the table's row count unless their number is given; every bucket holds all deliveries of its keys. ``known`` are
-    stored ordinals (see ``key_ordinals``), which keys keep from run to run.
+    ``columns`` are compared; those in ``codes`` without leading zeros. ``known`` are stored ordinals (``source, id, ordinal, buckets``, see ``Ordinals``), which keys keep
+    from run to run; they say the number of buckets. Without them it is given, or follows from ``bucket_rows``. Every bucket holds all deliveries of its keys.
     """
     kinds = dict(df.dtypes)
     src = df.where(F.col(source).isNotNull() & F.col(number).isNotNull() & F.col(key).isNotNull())
-    deliveries = src.select(F.col(source).alias("__s"), F.col(number).alias("__n")).distinct()
-    n_deliveries = deliveries.count()
-
+    # one small aggregate says the deliveries, their neighbours, and how many rows there are
+    counted = stage(src.groupBy(F.col(source).alias("__s"), F.col(number).alias("__n")).agg(F.count("*").alias("rows")), "deliveries")
+    totals = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     line = Window.partitionBy("__s").orderBy("__n")
-    deliveries = deliveries.select(
+    deliveries = counted.select(
         "__s", "__n", F.lag("__n").over(line).cast("bigint").alias("__prev"), F.lead("__n").over(line).cast("bigint").alias("__next")
     )
-    if n_deliveries <= BROADCAST_DELIVERIES:
+    if totals["n"] <= BROADCAST_DELIVERIES:
         deliveries = F.broadcast(deliveries)
-    buckets = buckets or max(1, -(-df.count() // bucket_rows))
+    stored = buckets_of(known)
+    if stored and buckets and stored != buckets:
+        raise ValueError(f"the ordinals were given in {stored} buckets, not {buckets}")
+    buckets = stored or buckets or max(1, -(-totals["rows"] // bucket_rows))
     rows = src.select(
         F.col(source).cast("string").alias(source),
         F.col(number).cast("int").alias(number),
@@ -230,11 +276,14 @@ def snapshot_changes(
         *[_plain(F.col(c), kinds[c], c in codes).alias(c) for c in columns],
         _bucket(F.col(key), buckets).alias("__bucket"),
     )
-    if known is not None:
-        rows = rows.join(known.select(source, key, F.col("ordinal").alias("__ordinal")), [source, key], "left")
     rows = rows.join(deliveries, (F.col(source) == F.col("__s")) & (F.col(number) == F.col("__n"))).drop("__s", "__n")
-    compared = list(columns)
+    compared, names = list(columns), (source, number, key)
     out = f"{source} string, {number} int, {key} string, change_kind string"
-    return rows.groupBy(source, "__bucket").applyInArrow(
-        lambda table: _diff(table, compared, (source, number, key)), schema=out
-    )
+    if not stored:
+        return rows.groupBy(source, "__bucket").applyInArrow(lambda table: _diff(table, compared, names), schema=out)
+    held = known.select(F.col("source").alias(source), F.col("id").alias(key), "ordinal", _bucket(F.col("id"), buckets).alias("__bucket"))
+
+    def met(table: pa.Table, held: pa.Table) -> pa.Table:
+        return _diff(table, compared, names, held)
+
+    return rows.groupBy(source, "__bucket").cogroup(held.groupBy(source, "__bucket")).applyInArrow(met, schema=out)

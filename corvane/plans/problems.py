@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from corvane.functions.text import strip
 from corvane.operators.instants import instant_us
 from corvane.operators.nested import NodeKind, linked_table
 from corvane.operators.packed import explode_values
-from corvane.operators.snapshots import snapshot_changes
-from corvane.session import load, spread
+from corvane.operators.snapshots import Ordinals, snapshot_changes
+from corvane.session import load, shared_dir, spread
 
 QUESTION = NodeKind("questionsEcrites", "question", {"numero": "identifiant.numero", "legislature": "identifiant.legislature"})
 REPLY = NodeKind("textesReponse", "texteReponse", {"texte": "texte", "date_jo": "infoJO.dateJO"})
@@ -37,8 +38,14 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Question ids added, removed or changed from each delivery of a source to the next."""
-    return snapshot_changes(load(spark, root, "question_snapshots"), COMPARED, codes=("sorquecod",))
+    """Question ids added, removed or changed from each delivery of a source to the next.
+
+    The ordinals of the ids stay in the shared folder, one dictionary for each table, and are taken up again by the next run.
+    """
+    snapshots = load(spark, root, "question_snapshots")
+    name = hashlib.sha256(root.encode()).hexdigest()[:16]
+    ordinals = Ordinals(spark, f"{shared_dir(spark).rstrip('/')}/corvane-ordinals/{name}")
+    return snapshot_changes(snapshots, COMPARED, codes=("sorquecod",), known=ordinals.extend(snapshots))
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:

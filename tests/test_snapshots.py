@@ -2,8 +2,10 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from corvane.operators.snapshots import Bitmap, key_ordinals, snapshot_changes
+from corvane.operators.snapshots import Bitmap, Ordinals, key_ordinals, snapshot_changes
 
 SCHEMA = "source string, snapshot_no int, id string, a string, code string, n int, loaded_at timestamp, __bucket string"
 T0 = datetime(2024, 1, 1)
@@ -67,13 +69,44 @@ def test_against_brute_force(spark):
     assert changes(spark, rows, bucket_rows=50) == want
 
 
+def dictionary(df):
+    return {(r["source"], r["id"]): (hash_bucket(r["id"], r["buckets"], df.sparkSession), r["ordinal"]) for r in df.collect()}
+
+
+def hash_bucket(key, buckets, spark, seen={}):
+    if key not in seen:
+        seen[key] = spark.range(1).select(F.xxhash64(F.lit(key))).first()[0]
+    return seen[key] % buckets
+
+
 def test_ordinals_persist(spark):
     day = lambda no: [row("S", no, f"k{i}") for i in range(20 + no)] + [row("T", no, "k0"), row("S", no, None)]
     first = key_ordinals(spark.createDataFrame(day(1), SCHEMA), 3)
-    second = key_ordinals(spark.createDataFrame(day(9), SCHEMA), 3, first)
-    a, b = ({(r["source"], r["id"]): (r["bucket"], r["ordinal"]) for r in x.collect()} for x in (first, second))
+    second = key_ordinals(spark.createDataFrame(day(9), SCHEMA), None, first)
+    a, b = dictionary(first), dictionary(second)
     assert len(a) == 22 and len(b) == 30 and all(b[k] == v for k, v in a.items())
     for s, bucket in {(k[0], v[0]) for k, v in b.items()}:
         assert sorted(v[1] for k, v in b.items() if (k[0], v[0]) == (s, bucket)) == list(range(sum((k[0], v[0]) == (s, bucket) for k, v in b.items())))
     rows = day(1) + day(9) + [row("S", 10, "k3", a="other")]
-    assert changes(spark, rows, buckets=3, known=first) == changes(spark, rows, buckets=3) == changes(spark, rows, buckets=3, known=second)
+    assert changes(spark, rows, known=first) == changes(spark, rows, buckets=3) == changes(spark, rows, known=second)
+    for bad in (lambda: changes(spark, rows, known=first, buckets=4), lambda: key_ordinals(spark.createDataFrame(rows, SCHEMA), 4, first)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_stored_ordinals_past_more_buckets(spark, tmp_path):
+    kept = Ordinals(spark, str(tmp_path / "o"))
+    day = lambda no, n: [row("S", no, f"k{i}", a=str(i % no)) for i in range(n)]
+    want, rows, before = set(), [], {}
+    for no, n in ((2, 10), (3, 40), (4, 200)):
+        rows += day(no, n)
+        df = spark.createDataFrame(rows, SCHEMA)
+        known = kept.extend(df, bucket_rows=30)
+        now = {(r["source"], r["id"]): r["ordinal"] for r in known.collect()}
+        assert all(now[k] == v for k, v in before.items())  # also where the buckets became more
+        held = {(hash_bucket(k[1], known.first()["buckets"], spark), v) for k, v in now.items()}
+        assert len(held) == len(now) == n
+        assert changes(spark, rows, known=known) == changes(spark, rows)
+        assert kept.extend(df, bucket_rows=30).inputFiles() == known.inputFiles()  # nothing new, nothing written
+        before = now
+    assert known.first()["buckets"] == 16
