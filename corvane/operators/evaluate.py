@@ -8,16 +8,28 @@ from pyspark.sql import functions as F
 CUTS = (1, 3, 5, 10, 20)
 
 
-def open_at(published: Column, answered: Column, at: Column) -> Column:
-    """Whether an enquiry was known and not yet answered at a day."""
-    return (published <= at) & (answered.isNull() | (answered > at))
+def of_mates(ranked: DataFrame, queries: DataFrame, rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Hits among mates, and how many mates each query has, where mates are the other rows of a query's group.
+
+    ``ranked``: query_id, id, rank; ``queries`` and ``rows``: id and group, rows of distinct ids. The groups are only counted: no pair
+    of mates is ever made, so a group may hold any share of the rows. Queries without mates are left out.
+    """
+    sizes = rows.groupBy(group).agg((F.count("*") - 1).alias("n")).where("n > 0")
+    asked = queries.select(F.col("id").alias("query_id"), F.col(group).alias("__own")).join(sizes.withColumnRenamed(group, "__own"), "__own").select("query_id", "__own", "n")
+    hits = ranked.join(rows.select("id", F.col(group).alias("__its")), "id").join(asked.select("query_id", "__own"), "query_id")
+    return hits.where(F.col("__own") == F.col("__its")).select("query_id", "id", "rank"), asked.select("query_id", "n")
 
 
-def hit_recall(ranked: DataFrame, mates: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """``k, n_queries, hit, recall`` from ``query_id, id, rank`` and ``query_id, id`` of the true ones."""
+def of_pairs(ranked: DataFrame, mates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for mates given as pairs: query_id, id."""
     truth = mates.select("query_id", "id").distinct()
-    found = truth.join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
-    by = found.groupBy("query_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in cuts])
+    return ranked.select("query_id", "id", "rank").join(truth, ["query_id", "id"], "left_semi"), truth.groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+def hit_recall(hits: DataFrame, sizes: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """``k, n_queries, hit, recall`` from the hits among mates and the numbers of mates."""
+    counts = hits.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in cuts])
+    by = sizes.join(counts, "query_id", "left").fillna(0, [f"h{k}" for k in cuts])
     long = by.select("query_id", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in cuts])).alias("x"))
     return (
         long.groupBy(F.col("x.k").alias("k"))
@@ -25,12 +37,11 @@ def hit_recall(ranked: DataFrame, mates: DataFrame, cuts: tuple[int, ...] = CUTS
     )
 
 
-def rank_buckets(ranked: DataFrame, mates: DataFrame) -> DataFrame:
+def rank_buckets(hits: DataFrame, sizes: DataFrame) -> DataFrame:
     """``bucket, n`` of the rank of each query's first true one."""
-    first = first_ranks(ranked, mates)
     r = F.col("rank")
     bucket = F.when(r == 1, "1").when(r <= 3, "2-3").when(r <= 5, "4-5").when(r <= 10, "6-10").when(r <= 20, "11-20").otherwise("miss")
-    return first.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return first_ranks(hits, sizes).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def upper_median(name: str) -> Column:
@@ -41,10 +52,9 @@ def upper_median(name: str) -> Column:
     return F.expr(f"percentile_disc(0.5) within group (order by `{name}` desc)")
 
 
-def first_ranks(ranked: DataFrame, mates: DataFrame) -> DataFrame:
+def first_ranks(hits: DataFrame, sizes: DataFrame) -> DataFrame:
     """``query_id, rank`` of each query's first true one, null for none."""
-    found = mates.select("query_id", "id").distinct().join(ranked.select("query_id", "id", "rank"), ["query_id", "id"], "left")
-    return found.groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return sizes.select("query_id").join(hits.groupBy("query_id").agg(F.min("rank").alias("rank")), "query_id", "left")
 
 
 def threshold_recall(scored: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:

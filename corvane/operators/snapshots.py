@@ -118,10 +118,10 @@ def _diff(table: pa.Table, columns: Sequence[str], names: tuple[str, str, str],
     # keys with an ordinal keep it; new ones follow in key order
     held = np.full(len(rank), -1, np.int64)
     if known is not None and known.num_rows and len(rank):
-        at = pc.index_in(ids.dictionary, value_set=known.column(key).combine_chunks())
-        held = np.asarray(pc.fill_null(known.column("ordinal").combine_chunks().take(at), -1)).astype(np.int64)
+        at = pc.index_in(ids.dictionary, value_set=known.column("held_key").combine_chunks())
+        held = np.asarray(pc.fill_null(known.column("held_ordinal").combine_chunks().take(at), -1)).astype(np.int64)
     fresh = np.flatnonzero(held < 0)
-    top = max(held.max(initial=-1), -1 if known is None else pc.max(known.column("ordinal")).as_py() or -1)
+    top = max(held.max(initial=-1), -1 if known is None else pc.max(known.column("held_ordinal")).as_py())
     held[fresh[np.argsort(rank[fresh])]] = top + 1 + np.arange(len(fresh))
     persistent = held[np.asarray(ids.indices)]
     place = np.argsort(held)
@@ -281,9 +281,14 @@ def snapshot_changes(
     out = f"{source} string, {number} int, {key} string, change_kind string"
     if not stored:
         return rows.groupBy(source, "__bucket").applyInArrow(lambda table: _diff(table, compared, names), schema=out)
-    held = known.select(F.col("source").alias(source), F.col("id").alias(key), "ordinal", _bucket(F.col("id"), buckets).alias("__bucket"))
+    # names of its own: a dictionary made from the same table must not be taken for its columns
+    held = known.select(F.col("source").alias("held_source"), F.col("id").alias("held_key"), F.col("ordinal").alias("held_ordinal"), _bucket(F.col("id"), buckets).alias("held_bucket"))
+
+    empty = pa.schema([(source, pa.string()), (number, pa.int32()), (key, pa.string()), ("change_kind", pa.string())])
 
     def met(table: pa.Table, held: pa.Table) -> pa.Table:
-        return _diff(table, compared, names, held)
+        if not table.num_rows:  # a bucket of the dictionary without rows
+            return empty.empty_table()
+        return _diff(table, compared, names, held if held.num_rows else None)
 
-    return rows.groupBy(source, "__bucket").cogroup(held.groupBy(source, "__bucket")).applyInArrow(met, schema=out)
+    return rows.groupBy(source, "__bucket").cogroup(held.groupBy("held_source", "held_bucket")).applyInArrow(met, schema=out)

@@ -61,27 +61,27 @@ def knn_vote(t):
 
 
 @query(
-    _NEAR.replace("FROM embeddings)", "FROM embeddings)", 1)
+    _NEAR
     + """, w1 AS (SELECT query_id, label, sum(score) AS weight FROM r WHERE rank <= 15 GROUP BY ALL), b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 6) DESC, label) AS n FROM w1),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s WHERE id % 2 = 0), w2 AS (SELECT query_id, label, sum(score) AS weight FROM r2 WHERE rank <= 15 GROUP BY ALL),
+w2 AS (SELECT query_id, label, sum(score) AS weight FROM r WHERE rank <= 5 GROUP BY ALL),
 b2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(weight, 6) DESC, label) AS n FROM w2),
 x AS (SELECT e.label AS klass, b1.label = e.label AS a, b2.label = e.label AS b FROM e LEFT JOIN b1 ON b1.query_id = e.vec_id AND b1.n = 1 LEFT JOIN b2 ON b2.query_id = e.vec_id AND b2.n = 1 WHERE e.vec_id % 20 = 0)
 SELECT CASE WHEN grouping(klass) = 1 THEN 'TOTAL' ELSE CAST(klass AS VARCHAR) END AS klass, count(*) AS n, count_if(a) AS hits_a, count_if(b) AS hits_b,
 round(100 * count_if(a) / count(*), 1) AS pct_a, round(100 * count_if(b) / count(*), 1) AS pct_b, round(100 * (count_if(b)::BIGINT - count_if(a)::BIGINT) / count(*), 1) AS delta FROM x GROUP BY ROLLUP (klass)""".replace("count_if(a)", "CAST(count_if(a) AS BIGINT)").replace("count_if(b)", "CAST(count_if(b) AS BIGINT)")
 )
 def knn_vote_ab(t):
+    """Fifteen voters against five."""
     e = t("embeddings")
     voters = e.select(F.col("vec_id").alias("id"), "label")
-    all_ = knn.vote(knn.nearest(e, _asked(e), "vec_id", "embedding", k=15), voters)
-    half = knn.vote(knn.nearest(e.where("vec_id % 2 = 0"), _asked(e), "vec_id", "embedding", k=15), voters)
+    near = knn.nearest(e, _asked(e), "vec_id", "embedding", k=15)
     truth = _asked(e).select(F.col("vec_id").alias("query_id"), F.col("label").alias("klass"))
-    return evaluate.compare(truth, all_, half)
+    return evaluate.compare(truth, knn.vote(near, voters), knn.vote(near.where("rank <= 5"), voters))
 
 
 @query(_NEAR + " SELECT query_id, id, round(score, 6) AS score FROM s WHERE round(score, 9) >= 0.3")
 def knn_threshold(t):
     e = t("embeddings")
-    return knn.nearest(e, _asked(e), "vec_id", "embedding", k=1_000_000, least=0.3).select("query_id", "id", F.round("score", 6).alias("score"))
+    return knn.nearest(e, _asked(e), "vec_id", "embedding", k=None, least=0.3).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 _POINTS = """WITH p AS (SELECT id, any_value(CAST(vector AS DOUBLE[])) AS v, any_value(payload) AS payload FROM vec_questions_opendata
@@ -130,8 +130,9 @@ def time_anchored_topk(t):
 _MATES = """, g AS (SELECT q.vec_id AS query_id, c.vec_id AS id FROM e q JOIN e c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)"""
 
 
-def _mates(e: DataFrame) -> DataFrame:
-    return _asked(e).select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("query_id <> id").select("query_id", "id")
+def _mates(e: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    rows = e.select(F.col("vec_id").alias("id"), "label")
+    return evaluate.of_mates(near.select("query_id", "id", "rank"), rows.where("id % 20 = 0"), rows, "label")
 
 
 @query(
@@ -142,7 +143,7 @@ SELECT CAST(k AS INTEGER) AS k, count(*) AS n_queries, round(avg(CASE WHEN first
 )
 def hit_recall_at_k(t):
     e = t("embeddings")
-    return evaluate.hit_recall(knn.nearest(e, _asked(e), "vec_id", "embedding", k=20), _mates(e))
+    return evaluate.hit_recall(*_mates(e, knn.nearest(e, _asked(e), "vec_id", "embedding", k=20)))
 
 
 @query(
@@ -152,7 +153,7 @@ SELECT CASE WHEN k = 1 THEN '1' WHEN k <= 3 THEN '2-3' WHEN k <= 5 THEN '4-5' WH
 )
 def rank_distribution(t):
     e = t("embeddings")
-    return evaluate.rank_buckets(knn.nearest(e, _asked(e), "vec_id", "embedding", k=20), _mates(e))
+    return evaluate.rank_buckets(*_mates(e, knn.nearest(e, _asked(e), "vec_id", "embedding", k=20)))
 
 
 @query(
@@ -163,7 +164,7 @@ SELECT count(*) AS n_queries, count(k) AS found, round(avg(k), 4) AS mean_rank,
 )
 def rank_summary(t):
     e = t("embeddings")
-    first = evaluate.first_ranks(knn.nearest(e, _asked(e), "vec_id", "embedding", k=20), _mates(e))
+    first = evaluate.first_ranks(*_mates(e, knn.nearest(e, _asked(e), "vec_id", "embedding", k=20)))
     return first.agg(F.count("*").alias("n_queries"), F.count("rank").alias("found"), F.round(F.avg("rank"), 4).alias("mean_rank"), evaluate.upper_median("rank").cast("int").alias("upper_median"))
 
 
@@ -649,22 +650,11 @@ def sample_seeded(t):
     return evaluate.seeded_sample(t("documents"), "doc_id", 100, 42).select("doc_id")
 
 
-@query(
-    """WITH c AS (SELECT DISTINCT id, themes_raw FROM tam_questions WHERE regexp_full_match(themes_raw, '(#\\d+)+#')), u AS (SELECT id, unnest(string_split(trim(themes_raw, '#'), '#')) AS code, generate_subscripts(string_split(trim(themes_raw, '#'), '#'), 1) AS pos FROM c)
-SELECT u.id, string_agg(thelib, '|' ORDER BY pos) AS themes FROM u JOIN the_themes th ON CAST(th.thecle AS VARCHAR) = u.code GROUP BY u.id"""
-)
-def theme_resolve(t):
-    from corvane.sources.dump import theme_labels
-
-    raw = t("tam_questions").where(F.col("themes_raw").rlike(r"^(#\d+)+#$")).select("id", "themes_raw").distinct()
-    return theme_labels(raw, "id", "themes_raw", t("the_themes")).select("id", F.array_join("themes", "|").alias("themes"))
-
-
 @query(
     f"""WITH c AS (SELECT DISTINCT id, string_split(themes_raw, '#') AS parts FROM tam_questions WHERE themes_raw IS NOT NULL), u AS (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM c)
 SELECT u.id, string_agg(thelib, '|' ORDER BY pos) AS themes FROM u JOIN the_themes th ON CAST(th.thecle AS VARCHAR) = regexp_replace(part, '^{_SPACE}+|{_SPACE}+$', '', 'g') GROUP BY u.id"""
 )
-def theme_resolve_all(t):
+def theme_resolve(t):
     from corvane.sources.dump import theme_labels
 
     raw = t("tam_questions").select("id", "themes_raw").distinct()
@@ -717,22 +707,22 @@ def embed_run_stats(t):
     _NEAR
     + _MATES
     + """, h AS (SELECT g.query_id, count(r.rank) AS hits FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.id = g.id AND r.rank <= 3 GROUP BY ALL), z AS (SELECT h.query_id, e.label FROM h JOIN e ON e.vec_id = h.query_id WHERE hits = 0),
-d AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY query_id) AS turn FROM z ORDER BY turn, query_id LIMIT 5),
-m AS (SELECT d.query_id, string_agg(CAST(g.id AS VARCHAR) || ':' || printf('%.4f', s.score), ' ' ORDER BY g.id) AS missed FROM d JOIN g USING (query_id) JOIN s ON s.query_id = g.query_id AND s.id = g.id GROUP BY d.query_id),
-t AS (SELECT d.query_id, string_agg(CAST(r.id AS VARCHAR), ' ' ORDER BY r.rank) AS top FROM d JOIN r ON r.query_id = d.query_id AND r.rank <= 3 GROUP BY d.query_id) SELECT query_id, missed, top FROM m JOIN t USING (query_id)"""
+d AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY query_id) AS turn FROM z ORDER BY turn, query_id LIMIT 5)
+SELECT d.query_id, 'missed' AS kind, g.id, round(s.score, 6) AS score FROM d JOIN g USING (query_id) JOIN s ON s.query_id = g.query_id AND s.id = g.id
+UNION ALL SELECT d.query_id, 'top', r.id, round(r.score, 6) FROM d JOIN r ON r.query_id = d.query_id AND r.rank <= 3"""
 )
 def failure_report(t):
+    """Five queries without a mate among their three nearest: a row for each mate missed and for each row found instead."""
     e = t("embeddings")
-    near = knn.nearest(e, _asked(e), "vec_id", "embedding", k=3).select("query_id", "id", "rank")
-    mates = _mates(e)
-    found = mates.join(near, ["query_id", "id"], "left").groupBy("query_id").agg(F.count("rank").alias("hits")).where("hits = 0")
+    near = knn.nearest(e, _asked(e), "vec_id", "embedding", k=3).select("query_id", "id", "rank", "score")
+    hits, sizes = _mates(e, near)
+    found = sizes.join(hits, "query_id", "left_anti")
     label = e.select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    some = evaluate.diverse_failures(found.join(label, "query_id"), "label", "query_id", 5).select("query_id", "q")
-    score = F.concat(F.col("id").cast("string"), F.lit(":"), F.format_string("%.4f", knn.cosine(F.col("q"), F.col("v"))))
-    missed = mates.join(some, "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")
-    missed = missed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", score.alias("s")))), lambda x: x["s"]), " ").alias("missed"))
-    top = near.join(some.select("query_id"), "query_id").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), " ").alias("top"))
-    return missed.join(top, "query_id")
+    some = evaluate.diverse_failures(found.join(label, "query_id"), "label", "query_id", 5).select("query_id", "label", "q")
+    rows = e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    missed = rows.join(F.broadcast(some), "label").where("query_id <> id")  # five queries, each row a row
+    missed = missed.select("query_id", F.lit("missed").alias("kind"), "id", F.round(knn.cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    return missed.unionAll(near.join(some.select("query_id"), "query_id").select("query_id", F.lit("top").alias("kind"), "id", F.round("score", 6).alias("score")))
 
 
 @query(
@@ -754,24 +744,13 @@ def manifest_skip(t):
     return incremental.fresh_files(files, held).select("path")
 
 
-@query(
-    """WITH a AS (SELECT id, max(etat_question) AS s FROM question_snapshots WHERE snapshot_no = 1 GROUP BY id), b AS (SELECT id, max(etat_question) AS s FROM question_snapshots WHERE snapshot_no = 2 GROUP BY id)
-SELECT b.id, a.s AS old, b.s AS new FROM b LEFT JOIN a USING (id) WHERE a.s IS DISTINCT FROM b.s"""
-)
-def state_change_log(t):
-    from corvane.streaming.feeds import state_changes
-
-    at = lambda n: t("question_snapshots").where(F.col("snapshot_no") == n).groupBy("id").agg(F.max("etat_question").alias("s"))
-    return state_changes(at(1), at(2), "id", "s")
-
-
 @query(
     """WITH q AS (SELECT source, snapshot_no, id, max(etat_question) AS s FROM question_snapshots WHERE source IS NOT NULL AND snapshot_no IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
 d AS (SELECT source, snapshot_no, lag(snapshot_no) OVER (PARTITION BY source ORDER BY snapshot_no) AS before FROM (SELECT DISTINCT source, snapshot_no FROM q))
 SELECT b.source, b.snapshot_no, b.id, a.s AS old, b.s AS new FROM q b JOIN d USING (source, snapshot_no) LEFT JOIN q a ON a.source = b.source AND a.id = b.id AND a.snapshot_no = d.before
 WHERE d.before IS NOT NULL AND a.s IS DISTINCT FROM b.s"""
 )
-def state_change_log_all(t):
+def state_change_log(t):
     from corvane.streaming.feeds import delivery_changes
 
     return delivery_changes(t("question_snapshots"), "id", "etat_question")

@@ -1,6 +1,5 @@
 """The registered queries over the project's smallest tables."""
 
-import importlib.util
 import subprocess
 import sys
 from pathlib import Path
@@ -39,7 +38,7 @@ def test_against_sql(spark):
     def plain(v):
         return round(float(v), 6) if isinstance(v, float) or hasattr(v, "as_tuple") else v
 
-    core = {n: s for n, s in entry.oracle_sql().items() if not importlib.util.find_spec("corvane.llm") or n not in __import__("corvane.llm.queries", fromlist=["SQL"]).SQL}
+    core = {n: s for n, s in entry.oracle_sql().items() if n in {**entry.problems.SQL, **entry.catalog.SQL}}
     for name, sql in core.items():
         df = entry.queries()[name](spark, DATA)
         columns = sorted(df.columns)
@@ -56,7 +55,7 @@ def test_core_stands_without_the_subpackage(tmp_path):
         "class No:\n"
         "    def find_spec(self, name, path=None, target=None):\n"
         "        if name.startswith('corvane.llm'):\n"
-        "            raise ModuleNotFoundError(name)\n"
+        "            raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, No())\n"
         f"sys.path.insert(0, {str(ROOT)!r})\n"
         "import __spark_entry__ as e\n"

@@ -108,11 +108,20 @@ def test_nearest_against_brute_force(spark):
     x[7] = x[3]
     rows = [(i, [float(v) for v in x[i]], "clash") for i in range(300)] + [(900, None, ""), (901, [], ""), (902, [0.0] * 8, ""), (903, [float("nan")] * 8, ""), (904, [1.0] * 3, "")]
     df = spark.createDataFrame(rows, "id bigint, v array<double>, score string").repartition(5)
-    got = {(r["query_id"], r["rank"]): r["id"] for r in knn.nearest(df, df.where("id % 20 = 3"), "id", "v", k=4, block=4).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    for q in range(3, 300, 20):
-        order = sorted((i for i in range(300) if i != q), key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:4]
-        assert [got[q, k + 1] for k in range(4)] == order
+    for block in (4, 100):  # queries in blocks that meet blocks of rows, and in one block sent to the tasks
+        found = knn.nearest(df, df.where("id % 20 = 3"), "id", "v", k=4, block=block, row_block=70).collect()
+        got = {(r["query_id"], r["rank"]): r["id"] for r in found}
+        assert len(got) == len(found) == 15 * 4
+        for q in range(3, 300, 20):
+            order = sorted((i for i in range(300) if i != q), key=lambda i: (-round(float(u[q] @ u[i]), 9), i))[:4]
+            assert [got[q, k + 1] for k in range(4)] == order
+        above = knn.nearest(df, df.where("id % 20 = 3"), "id", "v", k=None, least=0.2, block=block, row_block=70).collect()
+        assert {(r["query_id"], r["id"]) for r in above} == {(q, i) for q in range(3, 300, 20) for i in range(300) if i != q and u[q] @ u[i] >= 0.2}
+    with pytest.raises(ValueError):
+        knn.nearest(df, df, "id", "v", k=None)
+    text = df.select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("id"), "v")
+    assert {r["id"] for r in knn.nearest(text, text.where("id = 'k3'"), "id", "v", k=1).collect()} == {"k7"}
     assert knn.nearest(df.limit(0), df, "id", "v", k=3).count() == 0 and knn.nearest(df, df.limit(0), "id", "v", k=3).count() == 0
 
 
@@ -148,9 +157,14 @@ def test_office_steps_and_attributions(spark):
 def test_evaluation(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 4)], "query_id int, id string, rank int")
     mates = spark.createDataFrame([(1, "b"), (1, "z"), (2, "c"), (3, "y")], "query_id int, id string")
-    by = {r["k"]: (r["n_queries"], r["hit"], r["recall"]) for r in evaluate.hit_recall(ranked, mates, (1, 3, 5)).collect()}
+    true = evaluate.of_pairs(ranked, mates)
+    by = {r["k"]: (r["n_queries"], r["hit"], r["recall"]) for r in evaluate.hit_recall(*true, (1, 3, 5)).collect()}
     assert by == {1: (3, 0.0, 0.0), 3: (3, 0.3333, 0.1667), 5: (3, 0.6667, 0.5)}
-    assert {tuple(r) for r in evaluate.rank_buckets(ranked, mates).collect()} == {("2-3", 1), ("4-5", 1), ("miss", 1)}
+    assert {tuple(r) for r in evaluate.rank_buckets(*true).collect()} == {("2-3", 1), ("4-5", 1), ("miss", 1)}
+    rows = spark.createDataFrame([("q", "g"), ("a", "g"), ("b", "g"), ("c", "h"), ("s", "alone")], "id string, g string")
+    near = spark.createDataFrame([("q", "b", 1), ("q", "c", 2), ("s", "a", 1)], "query_id string, id string, rank int")
+    hits, sizes = evaluate.of_mates(near, rows.where("id in ('q', 's')"), rows, "g")
+    assert [tuple(r) for r in hits.collect()] == [("q", "b", 1)] and [tuple(r) for r in sizes.collect()] == [("q", 2)]
     for values, want in (([1, 9, 5, 7], 7), ([3, 1, 2], 2), ([4], 4), ([2, 2, 8, 8], 8)):
         assert spark.createDataFrame([(v,) for v in values], "v int").agg(evaluate.upper_median("v")).first()[0] == want
     t = evaluate.threshold_recall(spark.createDataFrame([(1, 0.9), (1, None), (2, 0.1)], "query_id int, score double"), (0.5,)).first()

@@ -89,6 +89,8 @@ def test_ordinals_persist(spark):
         assert sorted(v[1] for k, v in b.items() if (k[0], v[0]) == (s, bucket)) == list(range(sum((k[0], v[0]) == (s, bucket) for k, v in b.items())))
     rows = day(1) + day(9) + [row("S", 10, "k3", a="other")]
     assert changes(spark, rows, known=first) == changes(spark, rows, buckets=3) == changes(spark, rows, known=second)
+    df = spark.createDataFrame(rows, SCHEMA)  # a dictionary of the very table
+    assert {tuple(r) for r in snapshot_changes(df, ["a", "code", "n"], codes=["code"], known=key_ordinals(df, 3)).collect()} == changes(spark, rows)
     for bad in (lambda: changes(spark, rows, known=first, buckets=4), lambda: key_ordinals(spark.createDataFrame(rows, SCHEMA), 4, first)):
         with pytest.raises(ValueError):
             bad()
@@ -107,6 +109,7 @@ def test_stored_ordinals_past_more_buckets(spark, tmp_path):
         held = {(hash_bucket(k[1], known.first()["buckets"], spark), v) for k, v in now.items()}
         assert len(held) == len(now) == n
         assert changes(spark, rows, known=known) == changes(spark, rows)
+        assert changes(spark, rows[:3], known=known) == changes(spark, rows[:3])  # buckets without rows
         assert kept.extend(df, bucket_rows=30).inputFiles() == known.inputFiles()  # nothing new, nothing written
         before = now
     assert known.first()["buckets"] == 16
