@@ -11,7 +11,7 @@ from corvane.llm.labels import ministry_matcher, office_matcher
 from corvane.llm.leakage import leaks
 from corvane.llm.matching import collect_list, match_columns
 from corvane.llm.mojibake import restored
-from corvane.llm.neardup import expand, near_duplicates
+from corvane.llm.neardup import classes, expand, near_duplicates
 from corvane.llm.tokens import token_ids
 from corvane.llm.vectors import similar_pairs
 from corvane.session import load
@@ -34,11 +34,20 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of ids of one table whose texts share at least 0.6 of their sets of three successive words."""
+    return expand(*_near(spark, root))
+
+
+def p4_classes(spark: SparkSession, root: str) -> DataFrame:
+    """The same a row for each id: its class, how many ids have the class, and to how many other classes it is linked."""
+    return classes(*_near(spark, root))
+
+
+def _near(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     tables = [
         (load(spark, root, "parsed_questions"), "parsed_questions", "id", "texte_question"),
         (load(spark, root, "reponses"), "reponses", "id", "texte_reponse"),
     ]
-    return expand(*near_duplicates(tables, size=3, least=0.6))
+    return near_duplicates(tables, size=3, least=0.6)
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -68,19 +77,28 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_classes": p4_classes,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
 }
-SQL: dict[str, str] = {
-    "p4_found": r"""
+_SETS = r"""
 WITH d AS (SELECT DISTINCT 'parsed_questions' AS tbl, id, texte_question AS x FROM parsed_questions UNION SELECT 'reponses', id, texte_reponse FROM reponses),
 w AS (SELECT tbl, id, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS w FROM d WHERE x IS NOT NULL),
-s AS (SELECT DISTINCT tbl, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT tbl, id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
+s AS (SELECT DISTINCT tbl, id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT tbl, id, w, unnest(range(1, len(w) - 1)) AS i FROM w))"""
+SQL: dict[str, str] = {
+    "p4_found": _SETS
+    + """, n AS (SELECT tbl, id, count(*) AS n FROM s GROUP BY ALL),
 p AS (SELECT a.tbl, a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.tbl = b.tbl AND a.g = b.g AND a.id < b.id GROUP BY ALL)
 SELECT p.tbl, id_a, id_b FROM p JOIN n x ON x.tbl = p.tbl AND x.id = id_a JOIN n y ON y.tbl = p.tbl AND y.id = id_b WHERE c * 10 >= 6 * (x.n + y.n - c)""",
+    "p4_classes": _SETS
+    + """, c AS (SELECT tbl, id, md5(string_agg(g, '|' ORDER BY g)) AS h, count(*) AS n FROM s GROUP BY tbl, id),
+k AS (SELECT tbl, h, min(id) AS class_id, count(*) AS copies, any_value(n) AS n FROM c GROUP BY ALL),
+r AS (SELECT s.tbl, s.id, g, n FROM s JOIN k ON s.tbl = k.tbl AND s.id = k.class_id),
+p AS (SELECT a.tbl, a.id AS x, b.id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM r a JOIN r b ON a.tbl = b.tbl AND a.g = b.g AND a.id <> b.id GROUP BY 1, 2, 3),
+l AS (SELECT tbl, x, count(*) AS links FROM p WHERE c * 10 >= 6 * (na + nb - c) GROUP BY ALL)
+SELECT c.tbl, c.id, class_id, copies, coalesce(links, 0) AS links FROM c JOIN k USING (tbl, h) LEFT JOIN l ON l.tbl = c.tbl AND l.x = class_id""",
     "p7_found": """
 WITH v AS (SELECT DISTINCT 'question' AS coll, id, CAST(vector AS DOUBLE[]) AS v FROM vec_questions_opendata UNION SELECT 'answer', id, CAST(vector AS DOUBLE[]) FROM vec_answers_opendata),
 u AS MATERIALIZED (SELECT * FROM v WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),

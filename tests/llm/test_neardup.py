@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from corvane.llm import neardup
-from corvane.llm.neardup import _met, expand, near_duplicates
+from corvane.llm.neardup import _met, block_pairs, classes, expand, near_duplicates
 from corvane.llm.sketching import WordCodes, band_keys, shingle_sets, sketches
 
 
@@ -77,11 +78,31 @@ def test_against_brute_force(spark):
     assert ("c1", "c2") in got
 
 
-def test_large_groups_of_copies_are_stars(spark, monkeypatch):
-    copies = [(f"k{i:03}", "alpha beta gamma delta epsilon zeta eta theta iota kappa") for i in range(neardup.EXPAND + 10)]
-    near = ("m", "alpha beta gamma delta epsilon zeta eta theta iota lambda")
-    got = run(spark, [*copies, near])
-    assert got == {("k000", k) for k, _ in copies[1:]} | {("k000", "m")}
+@pytest.mark.parametrize("n, block", [(64, 1000), (65, 1000), (1000, 300)])
+def test_groups_of_copies_have_one_form(spark, monkeypatch, n, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota"
+    rows = [(f"k{i:03}", ("Alpha" if i % 2 else "alpha") + words[5:] + " kappa") for i in range(n)] + [("m", words + " lambda"), ("n", words + " mu")]
+    ids = sorted(i for i, _ in rows)
+    assert run(spark, rows) == {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]}
+    df = spark.createDataFrame(rows, "id string, x string")
+    got = {tuple(r) for r in classes(*near_duplicates([(df, "a", "id", "x")], size=3, least=0.6)).collect()}
+    assert got == {("a", i, "k000", n, 2) for i in ids if i[0] == "k"} | {("a", "m", "m", 1, 2), ("a", "n", "n", 1, 2)}
+
+
+def test_pairs_in_blocks(spark):
+    df = spark.createDataFrame([(g, i) for g, n in (("p", 1), ("q", 2), ("r", 57)) for i in range(n)], "g string, i int")
+    got = [tuple(r) for r in block_pairs(df, ["g"], "i", 10).collect()]
+    assert len(got) == len(set(got)) and set(got) == {("q", 0, 1)} | {("r", a, b) for b in range(57) for a in range(b)}
+
+
+def test_hot_keys_are_paired_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    base = "un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize"
+    rows = [(f"h{i:02}", base + f" fin{i} mot{rng.random()}") for i in range(40)]
+    want = run(spark, rows)
+    monkeypatch.setattr(neardup, "HOT", 5)
+    assert run(spark, rows) == want == brute(rows)
 
 
 def test_hot_keys_come_back_whole(monkeypatch):
