@@ -117,7 +117,7 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of one key, from rows sorted by key and class; rows of a hot key come back as they are."""
+    """Pairs of classes of one key, from rows sorted by key; rows of a hot key come back as they are."""
     keys, sigs = np.empty(0, np.int64), np.empty(0, np.int64)
     hot_key = None
 
@@ -125,7 +125,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(s), pa.nulls(len(s), pa.int64()), pa.array(k)], ["a", "b", "key"])
 
     def pairs(k: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+        same = np.r_[False, k[1:] == k[:-1], False]
+        met = same[1:] | same[:-1]  # most keys have one row: only the others are sorted by class
+        k, s = k[met[: len(k)]], s[met[: len(s)]]
         if len(k):  # copies met in several tasks
+            order = np.lexsort((s, k))
+            k, s = k[order], s[order]
             new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
             k, s = k[new], s[new]
         start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
@@ -180,10 +185,10 @@ def block_pairs(df: DataFrame, group: list[str], item: str, most: int) -> DataFr
 def candidates(prints: DataFrame) -> DataFrame:
     """``a, a2, b, b2``: classes that share a band and enough check coordinates, a < b.
 
-    The rows of a key lie together and sorted, so its pairs are read off the stream; a key of more than ``HOT`` classes isn't held but paired in blocks.
+    The rows of a key lie together (sorted by one integer, which takes linear time), so its pairs are read off the stream; a key of more than ``HOT`` classes isn't held but paired in blocks.
     Keys meet by the first half of a class's signature; the second tells classes apart that share it.
     """
-    banded = prints.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key", "sig")
+    banded = prints.where("keys is not null").select(F.explode("keys").alias("key"), "sig").repartition("key").sortWithinPartitions("key")
     met = stage(banded.mapInArrow(_met, "a bigint, b bigint, key bigint"), "met")
     hot = met.where("key is not null").select("key", F.col("a").alias("sig")).distinct()
     joined = block_pairs(hot, ["key"], "sig", HOT).select(F.col("x").alias("a"), F.col("y").alias("b"))
