@@ -69,6 +69,11 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks(load(spark, root, "documents"), load(spark, root, "eval_items"))
 
 
+def p9_edited(spark: SparkSession, root: str) -> DataFrame:
+    """The same with at most two words of the twelve put in, left out or replaced."""
+    return leaks(load(spark, root, "documents"), load(spark, root, "eval_items"), edits=2)
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """The garbled documents and the MD5 of their original text."""
     return restored(load(spark, root, "documents"))
@@ -81,6 +86,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p9_edited": p9_edited,
     "p10_found": p10_found,
 }
 _SETS = r"""

@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 
-from corvane.llm.leakage import edits_within, leaks, walk_keys, words_of
+from corvane.llm.leakage import edits_within, leaks, repeats_for, walk_keys, words_of
 
 WORDS = [f"mot{i}" for i in range(300)]
 
@@ -55,20 +56,66 @@ def test_both_forms_against_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_edits(spark):
+def distance(a, b):
+    """Word edits that make one of two windows the beginning of the other."""
+    row = list(range(len(b) + 1))
+    best = row[-1]
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        best = min(best, row[-1])
+    return min(best, *row)
+
+
+def test_edit_distance_against_brute_force():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 4, (300, 7)), rng.integers(0, 4, (300, 7))
+    for most in (1, 2, 3):
+        assert edits_within(a, b, most).tolist() == [distance(x, y) <= most for x, y in zip(a.tolist(), b.tolist())]
+
+
+def edited(rng, words, edits, kind):
+    w = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(w))
+        k = kind or rng.choice(["replace", "insert", "delete"])
+        w[at : at + (k != "insert")] = ["autre%d" % rng.randrange(10**6)] * (k != "delete")
+    return w
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+@pytest.mark.parametrize("kind", ["replace", "insert", "delete"])
+def test_recall_of_single_windows(spark, edits, kind):
+    """Passages of one window only, edited: the hardest case. No pair that isn't one is given."""
+    rng = random.Random(100 * edits + len(kind))
+    items = [(i, " ".join(rng.choice(WORDS) for _ in range(12))) for i in range(300)]
+    docs = [(i, " ".join(edited(rng, t.split(), edits, kind) + [f"fin{k}" for k in range(edits)])) for i, t in items]
+    d, i = frames(spark, docs, items)
+    got = {tuple(r) for r in leaks(d, i, edits=edits).collect()}
+    assert len({x for x, y in got if x == y}) >= 0.9 * 300
+    texts = dict(items), dict(docs)
+    for x, y in got:
+        w = texts[1][x].split()
+        assert any(distance(w[k : k + 12], texts[0][y].split()) <= edits for k in range(len(w) - 11))
+
+
+def test_edited_passages_in_both_forms(spark):
     rng = random.Random(5)
     text = [rng.choice(WORDS) for _ in range(40)]
-    items = [(1, " ".join(text))]
-    docs = []
-    for k in range(60):
-        w = list(text[5:31])
-        w[k % 24 + 1] = "autre"
-        docs.append((k, " ".join(w)))
-    d, i = frames(spark, docs, items)
-    got = {r[0] for r in leaks(d, i, size=12, edits=1, repeats=8).collect()}
-    assert len(got) == len(docs)
-    assert {r[0] for r in leaks(d, i, size=12, edits=1, repeats=8, max_windows=1).collect()} == got
-    assert edits_within(np.array([1, 2, 3]), np.array([1, 3, 4]), 2) and not edits_within(np.array([1, 2, 3]), np.array([4, 5, 6]), 2)
+    docs = [(k, " ".join(edited(rng, text[5:31], 2, None))) for k in range(60)]
+    d, i = frames(spark, docs, [(1, " ".join(text)), (2, None)])
+    got = {r[0] for r in leaks(d, i, edits=2).collect()}
+    assert len(got) >= 58
+    assert {r[0] for r in leaks(d, i, edits=2, max_windows=1).collect()} == got
+
+
+def test_repeats_follow_from_recall():
+    assert repeats_for(12, 0) == 1
+    found = [repeats_for(12, e) for e in (1, 2, 3)]
+    assert found == sorted(found) and repeats_for(12, 2, 0.6) < found[1] and repeats_for(24, 1) <= found[0] + 2
+    with pytest.raises(ValueError):
+        repeats_for(4, 4, 0.99)
 
 
 def test_walks_of_near_windows_meet_more_often():
