@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.labels import ministry_matcher, office_matcher
 from corvane.llm.leakage import leaks
-from corvane.llm.matching import collect_list, match_columns
+from corvane.llm.matching import collect_list, entries_of, leading_words, match_columns
 from corvane.llm.mojibake import restored
 from corvane.llm.neardup import classes, expand, near_duplicates
 from corvane.llm.tokens import token_ids
@@ -32,6 +32,12 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return asked.unionAll(drafted).distinct()
 
 
+def p3_within(spark: SparkSession, root: str) -> DataFrame:
+    """All ministries within the distance that the length of a typed ministry allows, and their distances."""
+    ministries = collect_list(load(spark, root, "ministeres"), "id", "titre_jo", "intitule_min")
+    return entries_of(load(spark, root, "parsed_questions"), "id", "ministre_libelle", ministries, leading_words([m[1] for m in ministries])).distinct()
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of ids of one table whose texts share at least 0.6 of their sets of three successive words."""
     return expand(*_near(spark, root))
@@ -81,6 +87,7 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p3_within": p3_within,
     "p4_found": p4_found,
     "p4_classes": p4_classes,
     "p7_found": p7_found,
