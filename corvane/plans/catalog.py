@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane import plugins
-from corvane.functions import dates, ids, labels, text
-from corvane.functions.splitter import split_text
+from corvane.functions import dates, ids, labels, splitter, text
 from corvane.operators import evaluate, groups, incremental, knn, merge
 from corvane.operators.collection import compile_filter
 from corvane.operators.merge import Policy
@@ -346,20 +345,58 @@ def typed_keys(t):
     return t("question_bureau_extract").select("id", labels.typed_key(F.col("sous_direction"), F.col("bureau")).alias("bureau_key")).distinct()
 
 
-@query()
+def _linear(pattern: str) -> str:
+    """A splitter's pattern for an engine without look-around, in which word and space classes are ASCII: edges of words become characters."""
+    edge = "[^\\p{L}\\p{M}\\p{N}\\p{Pc}]"
+    p = pattern.replace("(?>.+?\\b", f"(?:.*?{edge}").replace(".{1,300}?\\b", f".{{0,299}}?{edge}").replace("'", "''")
+    p = f"(?:^|{edge})" + p.removeprefix("\\b") if p.startswith("\\b") else p
+    p = p.removesuffix("\\b") + f"(?:{edge}|$)" if p.endswith("\\b") else p
+    p = p.replace("[,\\s]", "[,~]").replace("[-\\s]", "[-~]").replace("\\s", _SPACE)
+    return p.replace("~", _SPACE[1:-1])  # inside a class
+
+
+def _closer_sql(k: int) -> str:
+    """Where a closer begins in the tail: what stands before it ends at the edge of a word."""
+    p = _linear(splitter.CLOSERS[k][1]).removeprefix("(?:^|[^\\p{L}\\p{M}\\p{N}\\p{Pc}])")
+    before = f"regexp_extract(tail, '(?is)^(.*?(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]))({p})', [\'b\', \'c\'])"
+    return before.replace("\\'", "'")
+
+
+def _split_sql() -> str:
+    openers = " ".join(f"WHEN regexp_matches(head, '(?is){_linear(splitter.opener_pattern(verb, leads))}') THEN '{label.replace(chr(39), chr(39) * 2)}'" for label, verb, leads in splitter.OPENERS)
+    found = ", ".join(f"{{'k': {k}, 'm': {_closer_sql(k)}}}" for k in range(len(splitter.CLOSERS)))
+    labels = ", ".join(f"'{label}'" for label, _ in splitter.CLOSERS)
+    squeeze = lambda c: f"trim(regexp_replace({c}, '{_SPACE}+', ' ', 'g'), ' ')"
+    return f"""WITH q AS (SELECT DISTINCT id, regexp_replace(coalesce(texte_question, ''), '\\\\[rnt]', ' ', 'g') AS t FROM (SELECT DISTINCT id, texte_question FROM parsed_questions)),
+h AS (SELECT id, t, substr(t, 1, {splitter.HEAD}) AS head, CASE WHEN length(t) <= {splitter.TAIL} THEN t ELSE right(t, {splitter.TAIL}) END AS tail FROM q),
+f AS (SELECT id, t, regexp_matches(t, '(?is){_linear(splitter.REMINDER)}') AS reminds, CASE {openers} END AS opener_label,
+  list_filter([{found}], lambda x: x.m.c <> '') AS found FROM h),
+c AS (SELECT *, list_sort(list_transform(found, lambda x: [length(x.m.b), x.k]))[1] AS first FROM f),
+p AS (SELECT id, t, {squeeze('t')} <> '' AS filled, reminds, opener_label, [{labels}][first[2] + 1] AS closer_label, greatest(length(t) - {splitter.TAIL}, 0) + first[1] AS before FROM c),
+s AS (SELECT id, filled AND reminds AS is_reminder, CASE WHEN filled THEN nullif({squeeze('substr(t, 1, before)')}, '') END AS context,
+  CASE WHEN filled THEN nullif(CASE WHEN before IS NOT NULL THEN {squeeze('substr(t, before + 1)')} WHEN opener_label IS NOT NULL THEN {squeeze('t')} END, '') END AS request,
+  CASE WHEN filled THEN opener_label END AS opener_label, CASE WHEN filled THEN closer_label END AS closer_label FROM p)"""
+
+
+@query(_split_sql() + " SELECT id, is_reminder, context, request, opener_label, closer_label FROM s")
 def split_texts(t):
-    s = split_text(F.col("texte_question")).alias("s")
+    s = splitter.split_text(F.col("texte_question")).alias("s")
     return _texts(t).select("id", s).select("id", "s.*")
 
 
 def _texts(t) -> DataFrame:
-    """Each question's text once; a table of few splits is dealt to all cores before the expensive expressions."""
-    return spread(t("parsed_questions").select("id", "texte_question"), "id").dropDuplicates(["id", "texte_question"])
+    """Each question's text once, told by its hash and length, so that no text is moved twice; a table of few splits is dealt to all cores."""
+    q = spread(t("parsed_questions").select("id", "texte_question"), "id")
+    return q.groupBy("id", F.xxhash64("texte_question").alias("h"), F.length("texte_question").alias("n")).agg(F.first("texte_question").alias("texte_question")).select("id", "texte_question")
 
 
-@query()
+@query(
+    _split_sql()
+    + """ SELECT count(*) AS total, CAST(count_if(is_reminder) AS BIGINT) AS reminders, count(context) AS with_context, count(request) AS with_request, CAST(count_if(context IS NOT NULL AND request IS NOT NULL) AS BIGINT) AS with_both,
+round(100 * count_if(context IS NOT NULL AND request IS NOT NULL) / count(*), 1) AS pct_both FROM s"""
+)
 def text_stats(t):
-    s = _texts(t).select(split_text(F.col("texte_question")).alias("s"))
+    s = _texts(t).select(splitter.split_text(F.col("texte_question")).alias("s"))
     has = lambda c: F.col(f"s.{c}").isNotNull()
     pct = lambda c: F.round(100 * F.count_if(c) / F.count("*"), 1)
     return s.agg(

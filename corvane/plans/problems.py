@@ -68,8 +68,20 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
 
+_QUOTED = '"(?:[^"]|"")*"'
+_ANGLED = "«(?:[^«»]|«(?:[^«»]|«[^«»]*»)*»)*»"
+_BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_STRIPPED = lambda c: f"regexp_replace({c}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
 _T2 = "nullif(regexp_replace(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'), {z}, ''), '')"
 SQL = {
+    # angle quotes three deep, deeper than any in the tables
+    "p6_found": f"""
+WITH d AS (SELECT DISTINCT id, themes_raw AS x FROM tam_questions WHERE themes_raw IS NOT NULL),
+u AS (SELECT id, x, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM (SELECT id, x, regexp_extract_all(x, '(?:{_QUOTED}|{_ANGLED}|[^#|;,\t\n\r])+') AS l FROM d)),
+s AS (SELECT id, x, k, {_STRIPPED('p')} AS p FROM u),
+v AS (SELECT id, x, k, CASE WHEN regexp_full_match(p, '(?s){_QUOTED}') THEN {_STRIPPED("replace(substr(p, 2, length(p) - 2), chr(34) || chr(34), chr(34))")}
+  WHEN regexp_full_match(p, '(?s){_ANGLED}') THEN {_STRIPPED("substr(p, 2, length(p) - 2)")} ELSE p END AS val FROM s)
+SELECT DISTINCT id, CAST(row_number() OVER (PARTITION BY id, x ORDER BY k) AS INTEGER) AS pos, val FROM v WHERE val <> ''""",
     "p1_found": r"""
 WITH o AS (SELECT raw_id, CAST(payload AS JSON)->'$.archive.questionsEcrites.question' AS x FROM raw_an_questions WHERE json_valid(payload)),
 q AS (SELECT raw_id, unnest(a) AS q, unnest(range(len(a)))::INTEGER AS question_pos FROM (SELECT raw_id, CASE WHEN json_type(x) = 'ARRAY' THEN CAST(x AS JSON[]) ELSE [x] END AS a FROM o WHERE x IS NOT NULL)),
