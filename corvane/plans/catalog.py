@@ -420,20 +420,85 @@ def html_text(t):
     return t("documents").where("text is not null and text <> ''").select("doc_id", shown.alias("shown"))
 
 
+def _trimmed(c: str) -> str:
+    return f"nullif(regexp_replace({c}, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '')"
+
+
+_DAY = """coalesce(CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_strptime({0}, '%Y-%m-%d') END, CASE WHEN regexp_full_match({0}, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN try_strptime({0}, '%d/%m/%Y') END)"""
+
+
 @query(
-    """WITH q AS (SELECT DISTINCT id, numero_question, legislature, ministre_libelle, objet FROM parsed_questions WHERE source = 'AN')
-SELECT id, numero_question, legislature, nullif(trim(ministre_libelle), '') AS ministre_libelle, nullif(trim(objet), '') AS objet FROM q WHERE NOT regexp_matches(coalesce(ministre_libelle, '') || coalesce(objet, ''), '[^ -~À-ÿŒœ’]')"""
+    f"""WITH q AS (SELECT DISTINCT id, numero_question, legislature, date_publication_jo, ministre_libelle, objet, texte_question, texte_reponse, date_reponse_jo, page_reponse_jo FROM parsed_questions WHERE source = 'AN'),
+r AS (SELECT *, {_trimmed('texte_reponse')} AS said, {_trimmed('date_publication_jo')} AS d FROM q)
+SELECT id, numero_question, 'QE' AS type, 'AN' AS source, legislature, CASE WHEN texte_reponse IS NULL THEN 'EN_COURS' ELSE 'REPONDU' END AS etat_question, strftime({_DAY.format('d')}, '%Y-%m-%d') AS date_publication_jo,
+{_trimmed('ministre_libelle')} AS ministre_libelle, {_trimmed('objet')} AS objet, coalesce({_trimmed('texte_question')}, '') AS texte_question,
+CASE WHEN said IS NULL THEN NULL WHEN date_reponse_jo IS NULL THEN id ELSE 'AN-' || strftime(date_reponse_jo, '%Y%m%d') || '-' || substr(sha1(said), 1, 12) END AS reponse_id, said AS texte_reponse,
+CASE WHEN texte_reponse IS NOT NULL THEN strftime(date_reponse_jo, '%Y-%m-%d') END AS date_reponse_jo, CASE WHEN said IS NOT NULL THEN coalesce(strftime(date_reponse_jo, '%Y%m%d'), 'QE') END AS no_publication, page_reponse_jo FROM r"""
 )
 def xml_questions(t):
-    q = t("parsed_questions").where("source = 'AN'").select("id", "numero_question", "legislature", "ministre_libelle", "objet").distinct()
-    q = q.where(~F.concat(F.coalesce("ministre_libelle", F.lit("")), F.coalesce("objet", F.lit(""))).rlike("[^ -~À-ÿŒœ’]"))
-    esc = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    """Every question of one source written as the archive's XML and read back, all columns of it."""
+    names = ("id", "numero_question", "legislature", "date_publication_jo", "ministre_libelle", "objet", "texte_question", "texte_reponse", "date_reponse_jo", "page_reponse_jo")
+    q = spread(t("parsed_questions").where("source = 'AN'").select(*names)).distinct()
+
+    def leaf(tag: str, c) -> object:
+        plain = F.coalesce(c.cast("string"), F.lit(""))
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+            plain = F.replace(plain, F.lit(sign), F.lit(name))
+        return F.concat(F.lit(f"<{tag}>"), plain, F.lit(f"</{tag}>"))
+
+    def node(tag: str, *inner) -> object:
+        return F.concat(F.lit(f"<{tag}>"), *inner, F.lit(f"</{tag}>"))
+
+    reply = node("textesReponse", node("texteReponse", node("infoJO", leaf("dateJO", F.col("date_reponse_jo"))), leaf("texte", F.col("texte_reponse"))))
     element = F.concat(
-        F.lit('<question xmlns="urn:q"><identifiant><numero>'), F.col("numero_question").cast("string"), F.lit("</numero><legislature>"), F.col("legislature").cast("string"),
-        F.lit("</legislature></identifiant><type>QE</type><indexationAN><rubrique>"), esc(F.col("objet")), F.lit("</rubrique></indexationAN><minInt><developpe>"), esc(F.col("ministre_libelle")),
-        F.lit("</developpe></minInt></question>"),
+        F.lit('<question xmlns="urn:q">'),
+        node("identifiant", leaf("numero", F.col("numero_question")), leaf("legislature", F.col("legislature"))),
+        leaf("type", F.lit("QE")),
+        node("indexationAN", leaf("teteAnalyse", F.col("objet"))),
+        node("minAttribs", node("minAttrib", node("denomination", leaf("developpe", F.lit("un autre")))), node("minAttrib", node("denomination", leaf("developpe", F.col("ministre_libelle"))))),
+        node("textesQuestion", node("texteQuestion", node("infoJO", leaf("dateJO", F.col("date_publication_jo"))), leaf("texte", F.col("texte_question")))),
+        F.when(F.col("texte_reponse").isNotNull(), reply).otherwise(""),
+        node("cloture", node("infoJO", leaf("pageJO", F.col("page_reponse_jo")))),
+        F.lit("</question>"),
+    )
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    read = archives.parse_questions(q.select(element.alias("element")))
+    return read.withColumns({c: day(c) for c in ("date_publication_jo", "date_reponse_jo")})
+
+
+_LINE = lambda c: f"regexp_replace(coalesce({c}, ''), '[\\n]', ' ', 'g')"
+
+
+@query(
+    f"""WITH q AS (SELECT DISTINCT id, numero_question, legislature, titre_senat, ministre_libelle, texte_question, texte_reponse, date_reponse_jo FROM parsed_questions WHERE source = 'SENAT'),
+r AS (SELECT *, texte_reponse IS NOT NULL AND date_reponse_jo IS NOT NULL AS replied, {_trimmed('texte_question')} AS asked, concat_ws(' ', titre_senat, ministre_libelle, texte_question) AS shown FROM q),
+s AS (SELECT *, CASE WHEN replied OR regexp_matches(shown, '(?i)r[eéÉ]ponse{_SPACE}+publi[eéÉ]e') THEN 'REPONDU' WHEN regexp_matches(shown, '(?i)retir[eéÉ]e|caduque') THEN 'RETIRE' ELSE 'EN_COURS' END AS etat_question FROM r WHERE asked IS NOT NULL)
+SELECT id, numero_question, legislature, etat_question, {_trimmed("substr(" + _trimmed(_LINE('titre_senat')) + ", 1, 500)")} AS titre_senat, {_trimmed("substr(" + _trimmed(_LINE('ministre_libelle')) + ", 1, 300)")} AS ministre_libelle,
+regexp_replace(asked, '\n{{3,}}', chr(10) || chr(10), 'g') AS texte_question, CASE WHEN etat_question = 'REPONDU' THEN 'SENAT-WS-' || id END AS reponse_id, CASE WHEN etat_question = 'REPONDU' THEN 'SENAT-WS' END AS no_publication,
+CASE WHEN replied THEN strftime(date_reponse_jo, '%Y-%m-%d') END AS date_reponse_jo FROM s"""
+)
+def page_records(t):
+    """Every question of the other source shown as a web page and read back."""
+    q = spread(t("parsed_questions").where("source = 'SENAT'").select("id", "titre_senat", "ministre_libelle", "texte_question", "texte_reponse", "date_reponse_jo")).distinct()
+
+    def safe(c) -> object:
+        out = F.coalesce(c, F.lit(""))
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("é", "&eacute;"), ("’", "&#8217;"), ("è", "&#xe8;")):
+            out = F.replace(out, F.lit(sign), F.lit(name))
+        return out
+
+    line = lambda c: safe(F.replace(F.col(c), F.lit("\n"), F.lit(" ")))
+    replied = F.col("texte_reponse").isNotNull() & F.col("date_reponse_jo").isNotNull()
+    page = F.concat(
+        F.lit("<html><head><title>q</title><style>p {}</style><script>var a = '<p>';</script></head><body><p>Titre : "), line("titre_senat"), F.lit("</p>"),
+        F.when(text.is_blank(F.col("ministre_libelle")), "").otherwise(F.concat(F.lit("<p>Ministère attributaire : "), line("ministre_libelle"), F.lit("</p>"))),
+        F.when(replied, F.concat(F.lit("<p>Réponse publiée au JO le "), F.date_format("date_reponse_jo", "dd/MM/yyyy"), F.lit("</p>"))).otherwise(""),
+        F.lit("<p>Texte de la question :</p>\n<p>"), safe(F.col("texte_question")), F.lit("</p></body></html>"),
     )
-    return archives.parse_questions(q.select(element.alias("element"))).select("id", "numero_question", "legislature", "ministre_libelle", "objet")
+    read = pages.parse_pages(q.select("id", page.alias("page")), "id", "page")
+    return read.select(
+        "id", "numero_question", "legislature", "etat_question", "titre_senat", "ministre_libelle", "texte_question", "reponse_id", "no_publication", F.date_format("date_reponse_jo", "yyyy-MM-dd").alias("date_reponse_jo")
+    )
 
 
 # groups, duplicates, merges

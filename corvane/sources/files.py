@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import os
+import re
 import time
-from collections.abc import Callable, Iterable
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTS = "collection string, id string, vector array<float>, payload string"
@@ -48,30 +53,88 @@ def write_report(df: DataFrame, path: str) -> None:
 def list_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``path, length`` of text, PDF and Word files below a folder, in order; temporary and hidden ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length").where(_document()).orderBy("path")
+
+
+def _document() -> Column:
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", "length").where(F.lower(name).rlike(r"\.(txt|pdf|docx|doc)$") & ~name.rlike(r"^(~\$|\.)")).orderBy("path")
+    return F.lower(name).rlike(r"\.(txt|pdf|docx|doc)$") & ~name.rlike(r"^(~\$|\.)")
+
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def docx_text(data: bytes) -> str:
+    """The paragraphs of a Word file's body, a line each; those in tables aren't of the body."""
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{_W}body")
+    signs = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "\n".join("".join(x.text or "" if x.tag == f"{_W}t" else signs.get(x.tag, "") for x in p.iter()) for p in body.findall(f"{_W}p"))
+
+
+def sheet_rows(data: bytes) -> list[list[str | None]]:
+    """The rows of a spreadsheet's first sheet as text, gaps as None."""
+    z = zipfile.ZipFile(io.BytesIO(data))
+    names = set(z.namelist())
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_S}t"))
+    shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")] if "xl/sharedStrings.xml" in names else []
+    first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    rows: list[list[str | None]] = []
+    for e in ElementTree.fromstring(z.read(first)).iter(f"{_S}row"):
+        number = int(e.get("r") or len(rows) + 1)
+        rows += [[] for _ in range(number - len(rows))]
+        row = rows[number - 1]
+        for c in e.findall(f"{_S}c"):
+            letters = re.match("[A-Z]*", c.get("r") or "")[0]
+            at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1 if letters else len(row)
+            value, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
+            cell = text(inline) if inline is not None else None if value is None or value.text is None else value.text
+            row += [None] * (at + 1 - len(row))
+            row[at] = shared[int(cell)] if c.get("t") == "s" and cell is not None else cell
+    return rows
+
+
+def document_text(path: str, data: bytes) -> tuple[str | None, str | None]:
+    """A document's text, or why there is none."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    try:
+        if kind == "txt":
+            return data.decode("utf-8", "ignore"), None
+        if kind == "docx":
+            return docx_text(data), None
+        if kind == "pdf":
+            from pypdf import PdfReader
+
+            return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages), None
+        return None, f"no reader for {kind}"
+    except ImportError as e:
+        return None, f"{kind} needs {e.name}, which isn't installed"
+    except Exception as e:
+        return None, f"not readable: {type(e).__name__}"
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, text`` of the text files; other formats need a reader that this installation hasn't and are an error when asked for."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
-        .where(~F.element_at(F.split("path", "/"), -1).rlike(r"^(~\$|\.)"))
-        .select("path", F.decode("content", "UTF-8").alias("text"))
-    )
+    """``path, text, error`` of the documents that ``list_documents`` lists: none is left out, one without a text says why."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(_document())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [document_text(p.as_py(), d.as_py()) for p, d in zip(batch.column(0), batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())], ["path", "text", "error"])
 
-def read_sheet(path: str, header_row: int, wanted: dict[str, str]) -> list[dict[str, str]]:
-    """Rows of a spreadsheet's first sheet; a column is found by a part of its heading. Needs openpyxl."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise RuntimeError("spreadsheets need openpyxl, which isn't installed") from e
-    sheet = openpyxl.load_workbook(path, read_only=True).worksheets[0]
-    rows = list(sheet.iter_rows(values_only=True))
+    return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
+
+
+def read_sheet(path: str, header_row: int, wanted: dict[str, str]) -> list[dict[str, str | None]]:
+    """Rows of a spreadsheet's first sheet; a column is found by a part of its heading, one that isn't there is an error. Empty rows are left out."""
+    rows = sheet_rows(Path(path).read_bytes())
     head = [str(c or "").lower() for c in rows[header_row - 1]]
-    at = {k: next(i for i, h in enumerate(head) if part.lower() in h) for k, part in wanted.items()}
-    return [{k: r[i] for k, i in at.items()} for r in rows[header_row:] if any(c is not None for c in r)]
+    at = {}
+    for name, part in wanted.items():
+        if (i := next((i for i, h in enumerate(head) if part.lower() in h), None)) is None:
+            raise ValueError(f"no heading with {part!r} in row {header_row}")
+        at[name] = i
+    return [{k: r[i] if i < len(r) else None for k, i in at.items()} for r in rows[header_row:] if any(c is not None for c in r)]
 
 
 def download(fetch: Callable[[str], Iterable[bytes]], url: str, dest: str, *, retries: int = 3, backoff: float = 2.0, sleep=time.sleep) -> bool:

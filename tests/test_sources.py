@@ -82,14 +82,49 @@ def test_dump(spark, tmp_path):
 
 def test_pages(spark):
     html = "<html><style>x</style><script>var y = '<p>';</script><p>Titre : Les ponts</p><p>Auteur : M. Jean DUPONT, sénateur</p><p>Ministère attributaire : Ponts</p><p>Publiée au JO le 02/03/2020</p><p>Texte de la question :</p>\n<p>Pourquoi&nbsp;?</p><p>Réponse publiée le 05/06/2020</p>"
-    df = spark.createDataFrame([("a", html), ("b", "<p>rien</p>"), ("c", None)], "id string, h string")
-    r = pages.parse_pages(df, "id", "h").collect()
-    assert len(r) == 1
-    r = r[0]
-    assert (r["etat_question"], r["objet"], r["auteur_nom"], r["auteur_prenom"], r["ministre_libelle"], r["texte_question"]) == ("REPONDU", "Les ponts", "DUPONT", "Jean", "Ponts", "Pourquoi\xa0?")
+    unanswered = html.replace("Réponse publiée le 05/06/2020", "Date de réponse : 05/06/2020")
+    df = spark.createDataFrame([("SENAT-17-QE-5", html), ("b", "<p>rien</p>"), ("c", None), ("x", unanswered)], "id string, h string")
+    got = {r["id"]: r for r in pages.parse_pages(df, "id", "h").collect()}
+    assert set(got) == {"SENAT-17-QE-5", "x"}
+    x, r = got["x"], got["SENAT-17-QE-5"]
+    assert (x["etat_question"], x["date_reponse_jo"], x["reponse_id"], x["numero_question"]) == ("EN_COURS", None, None, None)
+    assert (r["numero_question"], r["legislature"], r["source"], r["type"], r["objet"], r["reponse_id"], r["no_publication"]) == (5, 17, "SENAT", "QE", None, "SENAT-WS-SENAT-17-QE-5", "SENAT-WS")
+    assert (r["etat_question"], r["titre_senat"], r["auteur_nom"], r["auteur_prenom"], r["ministre_libelle"], r["texte_question"]) == ("REPONDU", "Les ponts", "DUPONT", "Jean", "Ponts", "Pourquoi\xa0?")
     assert str(r["date_publication_jo"]) == "2020-03-02" and str(r["date_reponse_jo"]) == "2020-06-05"
 
 
+def test_page_text(spark):
+    cases = {
+        "d&#8217;eau &#233;t&#xe9; &#x27; &Ocirc;&ntilde; &amp;lt; &nosuch; A&amp;B": "d’eau été ' Ôñ &lt; &nosuch; A&B",
+        "a<script>var x = '<p>'": "a", "a<br class='x' />b<br>c</p>d": "a\nbc\nd", "1 < 2 <b>x</b> <!-- <p> -->y<!-- z": "1 < 2 x y", "a</p></div></td></li>b": "a\n\nb", "": "", "<STYLE>x</STYLE >a": "a",
+    }
+    df = spark.createDataFrame(list(cases.items()) + [(None, None)], "h string, want string")
+    assert [(r["h"], r["got"]) for r in df.select("h", "want", pages.page_text(F.col("h")).alias("got")).collect()] == [*cases.items(), (None, None)]
+
+
+def docx(*paragraphs):
+    out = io.BytesIO()
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs) + "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def test_sheet(tmp_path):
+    n = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rows = (
+        '<row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>Numéro de lot</t></is></c><c r="C2" t="s"><v>1</v></c></row>'
+        '<row r="3"><c r="A3"><v>7</v></c><c r="C3" t="s"><v>2</v></c></row><row r="5"><c r="C5" t="s"><v>2</v></c></row>'
+    )
+    with zipfile.ZipFile(tmp_path / "x.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{n}"><si><t>titre</t></si><si><r><t>Quest</t></r><r><t>ion</t></r></si><si><t>q1</t></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{n}"><sheetData>{rows}</sheetData></worksheet>')
+    assert files.read_sheet(str(tmp_path / "x.xlsx"), 2, {"lot": "lot", "question": "question"}) == [{"lot": "7", "question": "q1"}, {"lot": None, "question": "q1"}]
+    with pytest.raises(ValueError):
+        files.read_sheet(str(tmp_path / "x.xlsx"), 2, {"x": "absent"})
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"collection":"c","id":"1","vector":[1.0],"payload":"{}"}\n\n{"collection":"d","id":"2","vector":[2.0],"payload":"{}"}\n')
     assert [r["id"] for r in files.read_points(spark, str(tmp_path / "p.jsonl"), "c").collect()] == ["1"]
@@ -107,7 +142,12 @@ def test_files(spark, tmp_path):
     for n in ("a.txt", "~$b.docx", ".c.txt", "d.PDF", "e.png"):
         (docs / n).write_text("x")
     assert [r["path"].rsplit("/", 1)[1] for r in files.list_documents(spark, str(docs)).collect()] == ["a.txt", "d.PDF"]
-    assert [r["text"] for r in files.read_documents(spark, str(docs)).collect()] == ["x"]
+    (docs / "f.docx").write_bytes(docx("un", "deux"))
+    (docs / "g.docx").write_bytes(b"no archive")
+    (docs / "h.doc").write_bytes(b"\xd0")
+    got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["error"]) for r in files.read_documents(spark, str(docs)).collect()}
+    assert got["a.txt"] == ("x", None) and got["f.docx"] == ("un\ndeux", None) and len(got) == 5
+    assert all(t is None and e for n, (t, e) in got.items() if n in ("d.PDF", "g.docx", "h.doc"))
 
 
 def test_downloads(tmp_path):
@@ -207,6 +247,6 @@ def test_themes_of_any_text_are_resolved(spark):
 def test_theme_query_keeps_rows_of_other_forms(spark):
     import __spark_entry__ as entry
 
-    got = {r["id"] for r in entry.queries()["theme_resolve_all"](spark, DATA).collect()}
+    got = {r["id"] for r in entry.queries()["theme_resolve"](spark, DATA).collect()}
     held = {r["id"] for r in spark.read.parquet(f"{DATA}/tam_questions.parquet").where("themes_raw rlike '^[0-9]{1,2}$'").collect()}
     assert held and held <= got
