@@ -186,9 +186,9 @@ def vote(neighbours: DataFrame, voters: DataFrame, *, klass: str = "label") -> D
     return sums.withColumn("n", F.row_number().over(best)).where("n = 1").select("query_id", F.col(klass).alias("predicted"), "weight")
 
 
-def first_seen(hits: DataFrame) -> DataFrame:
-    """Of hits of several query vectors (``query_no, rank, id, score``) the first of each id: the earlier vector's, not the better score."""
-    w = Window.partitionBy("id").orderBy("query_no", "rank")
+def first_seen(hits: DataFrame, *by: str) -> DataFrame:
+    """Of hits of several query vectors (``query_no, rank, id, score``) the first of each id, for each value of the columns named: the earlier vector's, not the better score."""
+    w = Window.partitionBy(*by, "id").orderBy("query_no", "rank")
     return hits.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from corvane import plugins
 from corvane.functions import dates, ids, labels, splitter, text
-from corvane.operators import evaluate, groups, incremental, knn, merge
-from corvane.operators.collection import compile_filter
+from corvane.operators import evaluate, groups, incremental, knn, merge, similar
+from corvane.operators.collection import Collection, compile_filter
 from corvane.operators.merge import Policy
-from corvane.session import load, spread
+from corvane.session import load, shared_dir, spread
 from corvane.sources import archives, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -532,7 +533,27 @@ def embedded_texts(t):
     return plugins.embed(_texts(t), "id", "texte_question", plugins.HashEmbedder)
 
 
-@query()
+# the stand-in reranker: the share of the query's words in a candidate's text
+_GAP = _SPACE[:-1] + "\\x{1C}-\\x{1F}]"
+
+
+def _parts(c: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({c}), '[^{_GAP[1:]}+'))"
+
+
+def _reranked_sql(pool: int, kept: str) -> str:
+    return (
+        _POINTS
+        + f""", t AS MATERIALIZED (SELECT id, v, payload->>'$.texte_preview' AS txt, qid FROM m),
+s AS (SELECT q.id AS query_id, c.id AS id, list_cosine_similarity(q.v, c.v) AS score FROM t q JOIN t c ON q.id <> c.id WHERE CAST(regexp_extract(q.qid, '(\\d+)$', 1) AS BIGINT) % 20 = 0 AND {kept}),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS k FROM s) WHERE k <= {pool}),
+w AS (SELECT query_id, n.id, {_parts('q.txt')} AS a, {_parts("coalesce(c.txt, '')")} AS b FROM n JOIN t q ON q.id = query_id JOIN t c ON c.id = n.id),
+z AS (SELECT query_id, id, len(list_intersect(a, b)) / greatest(len(a), 1) AS score FROM w),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM z)"""
+    )
+
+
+@query(_reranked_sql(10, "true") + " SELECT query_id, id, round(score, 6) AS score, rank FROM x WHERE id IN (SELECT id FROM t WHERE txt IS NOT NULL)")
 def reranked(t):
     """The nearest points of the query set, in the order that the local stand-in of the reranker gives their previews."""
     p = _points(t)
@@ -540,7 +561,30 @@ def reranked(t):
     shown = p.select("id", F.get_json_object("payload", "$.texte_preview").alias("text")).where("text is not null")
     asked = shown.select(F.col("id").alias("query_id"), F.col("text").alias("query"))
     scores = plugins.rerank_groups(near.select("query_id", "id").join(shown, "id").join(asked, "query_id"), plugins.OverlapReranker)
-    return knn.rerank(near, scores)
+    return knn.rerank(near, scores).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(_reranked_sql(20, "q.txt <> '' AND q.txt IS NOT NULL AND score >= 0.1").replace("AND score >= 0.1", "AND list_cosine_similarity(q.v, c.v) >= 0.1") + " SELECT query_id, id, round(score, 6) AS score, rank FROM x WHERE rank <= 5")
+def similar_items(t):
+    """The request as one plan: stored vectors, filtered search, a pool of candidates, reranking by text, the best five."""
+    p = _points(t)
+    asked = p.where(_number("payload") % 20 == 0).select("id", "vector", F.get_json_object("payload", "$.texte_preview").alias("text"))
+    found = similar.similar_items(asked, p, plugins.OverlapReranker, 5, text_field="texte_preview", least=0.1)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    f"""WITH q AS (SELECT id, source, max(texte_question) AS x FROM parsed_questions GROUP BY ALL), b AS (SELECT *, x IS NULL OR regexp_replace(x, '{_SPACE}+', '', 'g') = '' AS blank FROM q),
+a AS (SELECT * FROM b WHERE source = 'AN')
+SELECT (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM a WHERE NOT blank AND rtrim(x, '.') <> x) AS embed, (SELECT count(*) FROM a WHERE NOT blank AND rtrim(x, '.') = x) AS skip,
+(SELECT count(*) FROM a WHERE blank) AS blank, 0::BIGINT AS blocked, (SELECT count(*) FROM b WHERE source <> 'AN' AND NOT (x IS NULL OR regexp_replace(rtrim(x, '.'), '{_SPACE}+', '', 'g') = '')) AS deleted"""
+)
+def embed_run(t):
+    """A collection is filled with the texts without their closing points, then brought up to date with the texts of one source."""
+    texts = t("parsed_questions").groupBy("id", "source").agg(F.max("texte_question").alias("text"))
+    held = Collection(texts.sparkSession, f"{shared_dir(texts.sparkSession).rstrip('/')}/corvane-{texts.sparkSession.sparkContext.applicationId}/embed-{uuid.uuid4().hex}", "questions_opendata")
+    similar.embed_run(texts.withColumn("text", F.regexp_replace("text", r"\.+$", "")), held, plugins.HashEmbedder, "maquette-64")
+    return similar.embed_run(texts.where("source = 'AN'"), held, plugins.HashEmbedder, "maquette-64", payload={"source": F.col("source")})
 
 
 @query("WITH q AS (SELECT DISTINCT id, reponse_id FROM parsed_questions WHERE reponse_id IS NOT NULL), g AS (SELECT reponse_id, count(*) AS size FROM q GROUP BY ALL) SELECT size, count(*) AS n FROM g GROUP BY size")

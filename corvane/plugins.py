@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import threading
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -55,6 +58,69 @@ class OverlapReranker:
         return [{"index": i, "relevance_score": len(q & set(t.lower().split())) / max(1, len(q))} for i, t in enumerate(texts)]
 
 
+#: What the body of a refusal says where a service blocks a text for its content; another refusal is an error.
+BLOCK_SIGNS = ("content blocked", "guardrail_name")
+
+
+class ServiceError(Exception):
+    """A service answered with an error."""
+
+
+def http_post(url: str, key: str, timeout: float = 60) -> Callable[[dict], tuple[int, str]]:
+    """Posts JSON to an address: the status and the body of the answer."""
+
+    def post(body: dict) -> tuple[int, str]:
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as answer:
+                return answer.status, answer.read().decode("utf-8")
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode("utf-8", "replace")
+
+    return post
+
+
+def answered(status: int, body: str) -> dict:
+    """The answer as data. A refusal for content is ``ContentBlocked``, any other error ``ServiceError``."""
+    if status == 403 and any(sign in body[:2000].lower() for sign in BLOCK_SIGNS):
+        raise ContentBlocked(body[:500])
+    if not 200 <= status < 300:
+        raise ServiceError(f"{status}: {body[:500]}")
+    return json.loads(body)
+
+
+class ServiceEmbedder:
+    """Vectors from a service that may answer in any order: the answers' indexes say which text is which."""
+
+    def __init__(self, post: Callable[[dict], tuple[int, str]], model: str):
+        self.post, self.model = post, model
+
+    def embed(self, text: str) -> list[float]:
+        return self.embed_batch([text])[0]
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        if not texts:
+            return []
+        rows = answered(*self.post({"model": self.model, "input": list(texts)}))["data"]
+        by = {r["index"]: r["embedding"] for r in rows}
+        if sorted(by) != list(range(len(texts))):
+            raise ServiceError(f"{len(texts)} texts, but vectors of {sorted(by)}")
+        return [by[i] for i in range(len(texts))]
+
+
+class ServiceReranker:
+    """Scores from a service that wraps its results as ``data`` or ``results``."""
+
+    def __init__(self, post: Callable[[dict], tuple[int, str]], model: str):
+        self.post, self.model = post, model
+
+    def rerank(self, query: str, texts: Sequence[str], top_n: int | None = None) -> list[dict]:
+        if not texts:
+            return []
+        said = answered(*self.post({"model": self.model, "query": query, "documents": list(texts), "top_n": len(texts) if top_n is None else top_n}))
+        return said["data"] if "data" in said else said.get("results", [])
+
+
 def embed_partial(embedder: Embedder, texts: Sequence[str]) -> list[list[float] | None]:
     """Vectors in order; where the service blocks a batch each text is sent alone, and a blocked one has none. Other errors are raised."""
     try:
