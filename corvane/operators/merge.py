@@ -129,6 +129,11 @@ def apply_map(df: DataFrame, column: str, mapping: DataFrame, old: str, new: str
     return df.join(m, F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
 
 
+def without(df: DataFrame, column: str, mapping: DataFrame, old: str) -> DataFrame:
+    """The rows whose key the mapping doesn't replace."""
+    return df.join(mapping.select(F.col(old).alias(column)), column, "left_anti")
+
+
 def canonical_map(df: DataFrame, key: str, text: str, where: Column | None = None) -> DataFrame:
     """``old, canonical`` of every row whose whole text has a smaller key elsewhere; blank texts aren't merged."""
     rows = df.where(where) if where is not None else df

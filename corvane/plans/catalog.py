@@ -210,10 +210,32 @@ def knn_multi_first_seen(t):
 # points of a collection
 
 
-@query("SELECT DISTINCT id, payload->>'$.question_id' AS question_id FROM vec_questions_opendata WHERE payload->>'$.source' = 'SENAT'")
+_HELD = """WITH p AS (SELECT id, max({'payload': payload, 'vector': vector}) AS r FROM vec_questions_opendata
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND id IS NOT NULL GROUP BY id),
+c AS (SELECT id, r.vector AS vector, r.payload AS payload FROM p)"""
+
+
+def _folder(df: DataFrame) -> str:
+    spark = df.sparkSession
+    return f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}/collection-{uuid.uuid4().hex}"
+
+
+def _collection(t) -> Collection:
+    """A collection with all usable points of the table."""
+    held = t("vec_questions_opendata")
+    c = Collection(held.sparkSession, _folder(held), "questions_opendata")
+    c.upsert(_usable(held))
+    return c
+
+
+def _qid():
+    return F.get_json_object("payload", "$.question_id").alias("qid")
+
+
+@query(_HELD + " SELECT id, payload->>'$.question_id' AS question_id FROM c WHERE payload->>'$.source' = 'SENAT' AND NOT coalesce(payload->>'$.legislature' IN ('15', '16'), false)")
 def scroll_filtered(t):
-    spec = {"must": [{"key": "source", "match": {"value": "SENAT"}}]}
-    return t("vec_questions_opendata").where(compile_filter(spec)).select("id", F.get_json_object("payload", "$.question_id").alias("question_id")).distinct()
+    spec = {"must": [{"key": "source", "match": {"value": "SENAT"}}], "must_not": [{"key": "legislature", "match": {"any": [15, "16"]}}]}
+    return _collection(t).scroll(spec, with_vector=False).select("id", F.get_json_object("payload", "$.question_id").alias("question_id"))
 
 
 @query("SELECT DISTINCT v.id FROM vec_questions_opendata v SEMI JOIN (SELECT id FROM parsed_questions WHERE source = 'AN') p ON v.payload->>'$.question_id' = p.id")
@@ -222,29 +244,41 @@ def points_by_ids(t):
     return t("vec_questions_opendata").select("id", _qid()).join(wanted, "qid", "left_semi").select("id").distinct()
 
 
-def _qid():
-    return F.get_json_object("payload", "$.question_id").alias("qid")
+@query(_HELD + ", f AS (SELECT id FROM c ORDER BY id LIMIT 5) SELECT id, list_sum(CAST(vector AS DOUBLE[])) AS total FROM c WHERE id IN (SELECT id FROM f)")
+def points_got(t):
+    """The first five ids, fetched from the collection by id."""
+    c = _collection(t)
+    ids_ = [r["id"] for r in c.points().select("id").orderBy("id").limit(5).collect()]
+    return c.get_many([*ids_, "no such id"]).select("id", _total().alias("total"))
 
 
-@query("SELECT DISTINCT id FROM vec_questions_opendata WHERE NOT coalesce(payload->>'$.legislature' = '17', false)")
-def delete_by_filter(t):
-    gone = compile_filter({"must": [{"key": "legislature", "match": {"value": 17}}]})
-    return t("vec_questions_opendata").where(~F.coalesce(gone, F.lit(False))).select("id").distinct()
+def _total():
+    return F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
-@query("SELECT coalesce(len(vector), -1)::INTEGER AS dims, count(*) AS n FROM vec_answers_opendata GROUP BY 1")
-def vector_sizes(t):
-    return t("vec_answers_opendata").groupBy(F.coalesce(F.size("vector"), F.lit(-1)).alias("dims")).agg(F.count("*").alias("n"))
+@query(_HELD + " SELECT id, payload->>'$.source' AS source FROM c WHERE NOT coalesce(payload->>'$.legislature' = '17', false)")
+def delete_by_filter(t):
+    c = _collection(t)
+    c.delete({"must": [{"key": "legislature", "match": {"value": 17}}]})
+    return c.points().select("id", F.get_json_object("payload", "$.source").alias("source"))
 
 
 @query(
-    """WITH o AS (SELECT DISTINCT id, payload FROM vec_answers_opendata), n AS (SELECT DISTINCT id, payload->>'$.source' AS payload FROM vec_answers_opendata WHERE payload->>'$.source' = 'AN')
-SELECT id, payload FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n"""
+    _HELD
+    + """ SELECT id, list_sum(CAST(CASE WHEN payload->>'$.source' = 'AN' THEN list_reverse(vector) ELSE vector END AS DOUBLE[])) AS total, CAST(CASE WHEN payload->>'$.source' = 'AN' THEN vector[64] ELSE vector[1] END AS DOUBLE) AS head,
+CASE WHEN payload->>'$.source' = 'AN' THEN 'AN' ELSE payload END AS payload FROM c"""
 )
 def point_upsert(t):
-    old = t("vec_answers_opendata").select("id", "payload").distinct()
-    new = old.where(F.get_json_object("payload", "$.source") == "AN").select("id", F.get_json_object("payload", "$.source").alias("payload")).distinct()
-    return merge.replace_by_key(old, new, ["id"])
+    """The points of one source are written again with reversed vectors and a short payload."""
+    c = _collection(t)
+    source = F.get_json_object("payload", "$.source")
+    c.upsert(c.points().where(source == "AN").select("id", F.reverse("vector").alias("vector"), source.alias("payload")))
+    return c.points().select("id", _total().alias("total"), F.col("vector")[0].cast("double").alias("head"), "payload")
+
+
+@query("SELECT coalesce(len(vector), -1)::INTEGER AS dims, count(*) AS n FROM vec_answers_opendata GROUP BY 1")
+def vector_sizes(t):
+    return t("vec_answers_opendata").groupBy(F.coalesce(F.size("vector"), F.lit(-1)).alias("dims")).agg(F.count("*").alias("n"))
 
 
 # identifiers, hashes, texts
@@ -324,11 +358,11 @@ def era_of_date(t):
 
 
 @query(
-    """SELECT DISTINCT objet, CASE WHEN contains(lower(objet), 'réponse') THEN 'REPONDU' WHEN contains(lower(objet), 'reçue') THEN 'REPONDU' WHEN contains(lower(objet), 'retirée') THEN 'RETIRE'
-WHEN contains(lower(objet), 'rappelée') THEN 'RETIRE' WHEN contains(lower(objet), 'caduque') THEN 'CADUQUE' ELSE 'EN_COURS' END AS state FROM parsed_questions"""
+    """SELECT doc_id, CASE WHEN contains(lower(text), 'réponse') THEN 'REPONDU' WHEN contains(lower(text), 'reçue') THEN 'REPONDU' WHEN contains(lower(text), 'retirée') THEN 'RETIRE'
+WHEN contains(lower(text), 'rappelée') THEN 'RETIRE' WHEN contains(lower(text), 'caduque') THEN 'CADUQUE' ELSE 'EN_COURS' END AS state FROM documents"""
 )
 def keyword_state(t):
-    return t("parsed_questions").select("objet", labels.state_of_label(F.col("objet")).alias("state")).distinct()
+    return t("documents").select("doc_id", labels.state_of_label(F.col("text")).alias("state"))
 
 
 @query("SELECT id, upper(replace(nullif(regexp_extract(nom, '^\\s*\\[([^\\]]+)\\]', 1), ''), ' ', '')) AS bureau_key FROM bureaux")
@@ -582,7 +616,7 @@ SELECT (SELECT count(*) FROM a) AS total, (SELECT count(*) FROM a WHERE NOT blan
 def embed_run(t):
     """A collection is filled with the texts without their closing points, then brought up to date with the texts of one source."""
     texts = t("parsed_questions").groupBy("id", "source").agg(F.max("texte_question").alias("text"))
-    held = Collection(texts.sparkSession, f"{shared_dir(texts.sparkSession).rstrip('/')}/corvane-{texts.sparkSession.sparkContext.applicationId}/embed-{uuid.uuid4().hex}", "questions_opendata")
+    held = Collection(texts.sparkSession, _folder(texts), "questions_opendata")
     similar.embed_run(texts.withColumn("text", F.regexp_replace("text", r"\.+$", "")), held, plugins.HashEmbedder, "maquette-64")
     return similar.embed_run(texts.where("source = 'AN'"), held, plugins.HashEmbedder, "maquette-64", payload={"source": F.col("source")})
 
@@ -610,6 +644,12 @@ def dedup_apply(t):
     return merge.apply_map(t("parsed_questions").select("id", "reponse_id").distinct(), "reponse_id", _canon(t), "old", "canonical")
 
 
+@query(_CANON + " SELECT DISTINCT id, source FROM reponses WHERE id NOT IN (SELECT old FROM m)")
+def dedup_kept(t):
+    """The replies that stay once all that refers to a repeated one refers to its first."""
+    return merge.without(t("reponses").select("id", "source").distinct(), "id", _canon(t), "old")
+
+
 @query(_CANON + " SELECT (SELECT count(*) FROM r) AS replies, (SELECT count(*) FROM h) AS text_groups, CAST((SELECT coalesce(sum(n), 0) FROM h) AS BIGINT) AS grouped, (SELECT count(*) FROM m) AS removable")
 def dedup_stats(t):
     r = t("reponses").select("id", "texte_reponse").distinct().where("texte_reponse is not null and texte_reponse <> ''")
@@ -737,15 +777,23 @@ def direction_lookup(t):
     return t("question_bureau_extract").select("id", "direction_txt").join(d, "direction_txt").select("id", "direction_id").distinct()
 
 
+_KEY = "upper(replace(nullif(regexp_extract({0}, '^\\s*\\[([^\\]]+)\\]', 1), ''), ' ', ''))"
+
+
 @query(
-    f"""WITH e AS (SELECT DISTINCT id, question_id, direction_txt, sous_direction, bureau, coalesce(bureau_full, bureau) AS b, date_debut_etape, {_TYPED} AS k FROM question_bureau_extract WHERE trim(sous_direction) <> ''),
+    f"""WITH h AS (SELECT DISTINCT e.question_id, b.id, b.nom, d.nom AS direction_label FROM question_bureau_extract e JOIN directions d ON d.nom = e.direction_txt JOIN bureaux b ON b.direction_id = d.id AND {_KEY.format('b.nom')} = {_KEY.format('e.bureau')} WHERE question_id IS NOT NULL),
+e AS (SELECT DISTINCT id, question_id, direction_txt, sous_direction, bureau, coalesce(bureau_full, bureau) AS b, date_debut_etape, {_TYPED} AS k FROM question_bureau_extract WHERE trim(sous_direction) <> '' AND question_id NOT IN (SELECT question_id FROM h)),
 o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY date_debut_etape DESC NULLS LAST, id, direction_txt) AS n FROM e)
-SELECT question_id, k AS bureau_key, direction_txt AS direction_label FROM o WHERE n = 1 AND question_id IS NOT NULL"""
+SELECT question_id, {_KEY.format('nom')} AS bureau_key, direction_label, 'attribution' AS source FROM h UNION ALL SELECT question_id, k, direction_txt, 'extract' FROM o WHERE n = 1 AND question_id IS NOT NULL"""
 )
 def extracted_attributions(t):
-    none = t("bureaux").limit(0).select(F.lit("").alias("question_id"), F.col("id").alias("bureau_reel_id"))
-    a = groups.attributions(none, t("bureaux"), t("directions"), t("question_bureau_extract").where("question_id is not null").distinct())
-    return a.select("question_id", "bureau_key", "direction_label")
+    """Offices that a step names by their code count as given by hand; steps of other questions as extracted."""
+    e = t("question_bureau_extract").where("question_id is not null").distinct()
+    known = t("bureaux").select(F.col("id").alias("bureau_reel_id"), labels.bracket_key(F.col("nom")).alias("key"), "direction_id")
+    units = t("directions").select(F.col("id").alias("direction_id"), F.col("nom").alias("direction_txt"))
+    named = e.select("question_id", "direction_txt", labels.bracket_key(F.col("bureau")).alias("key")).where("key is not null")
+    human = named.join(units, "direction_txt").join(known, ["direction_id", "key"]).select("question_id", "bureau_reel_id").distinct()
+    return groups.attributions(human, t("bureaux"), t("directions"), e).select("question_id", "bureau_key", "direction_label", "source")
 
 
 @query(
