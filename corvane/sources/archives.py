@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.dates import parse_day
 from corvane.functions.ids import question_id, reply_id
 from corvane.functions.text import blank_to_null
+from corvane.sources.files import file_list, open_path
 
 _INFO = "struct<dateJO:string,pageJO:string>"
 _TEXT = f"array<struct<infoJO:{_INFO},texte:string>>"
@@ -25,26 +27,26 @@ QUESTION_XML = (
 )
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+def zip_entries(spark: SparkSession, path: str, opened: Callable[[str], BinaryIO] = open_path) -> DataFrame:
     """``archive, name, content`` of the XML entries of zip archives; a broken archive has none.
 
-    Entries below ``xml/`` are taken where there are any, else those of the root.
+    Entries below ``xml/`` are taken where there are any, else those of the root. An archive is opened where it lies and read an entry at a time, so it may
+    be of any size.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, data in zip(batch["path"], batch["content"]):
+            for archive in batch.column(0).to_pylist():
                 try:
-                    z = zipfile.ZipFile(io.BytesIO(data))
-                    names = [n for n in z.namelist() if n.lower().endswith(".xml")]
-                    nested = [n for n in names if n.startswith("xml/")]
-                    for n in nested or [n for n in names if "/" not in n]:
-                        yield pd.DataFrame({"archive": [archive], "name": [n], "content": [z.read(n).decode("utf-8", "replace")]})
-                except (zipfile.BadZipFile, EOFError, OSError):
+                    with opened(archive) as f, zipfile.ZipFile(f) as z:
+                        names = [n for n in z.namelist() if n.lower().endswith(".xml")]
+                        nested = [n for n in names if n.startswith("xml/")]
+                        for n in nested or [n for n in names if "/" not in n]:
+                            yield pa.RecordBatch.from_pydict({"archive": [archive], "name": [n], "content": [z.read(n).decode("utf-8", "replace")]})
+                except (zipfile.BadZipFile, zlib.error, EOFError, ValueError):  # a file too short to be one too
                     continue
 
-    return files.select("path", "content").mapInPandas(run, "archive string, name string, content string")
+    return file_list(spark, path).select("path").mapInArrow(run, "archive string, name string, content string")
 
 
 def question_elements(df: DataFrame, content: str) -> DataFrame:

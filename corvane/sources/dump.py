@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +17,13 @@ from corvane.functions.ids import plain_number, question_id
 from corvane.functions.labels import state_of_label
 from corvane.functions.text import strip
 from corvane.operators.merge import first_per_key
+from corvane.sources.files import file_list, open_path
 
 #: Fixed value: the header of a block.
 HEADER = re.compile(r"^COPY\s+(\S+)\s*\(([^)]+)\)\s+FROM\s+stdin", re.I)
 FIRST_LEGISLATURE = 14
+#: Rows of a dump that are given out at a time.
+ROWS = 10_000
 
 
 def blocks(text_lines: Iterator[str]) -> Iterator[tuple[str, int, dict[str, str | None]]]:
@@ -35,25 +41,20 @@ def blocks(text_lines: Iterator[str]) -> Iterator[tuple[str, int, dict[str, str
             yield table, no, {c: None if v in ("\\N", "") else v for c, v in zip(columns, line.split("\t"))}
 
 
-def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None) -> DataFrame:
-    """``path, table, row_no, values`` of dump files, each read in order by one task."""
-    files = spark.read.format("binaryFile").load(path)
+def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, opened: Callable[[str], BinaryIO] = open_path) -> DataFrame:
+    """``path, table, row_no, values`` of dump files, each read line by line by one task: a file may be of any size."""
     wanted = set(tables or ())
+    schema = pa.schema([("path", pa.string()), ("table", pa.string()), ("row_no", pa.int64()), ("values", pa.map_(pa.string(), pa.string()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                out: list[tuple] = []
-                for table, no, values in blocks(iter(data.decode("utf-8", "replace").split("\n"))):
-                    if not wanted or table in wanted:
-                        out.append((name, table, no, values))
-                    if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=["path", "table", "row_no", "values"])
-                        out = []
-                if out:
-                    yield pd.DataFrame(out, columns=["path", "table", "row_no", "values"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, table string, row_no bigint, values map<string,string>")
+            for name in batch.column(0).to_pylist():
+                with opened(name) as f, io.TextIOWrapper(f, encoding="utf-8", errors="replace", newline="\n") as lines:
+                    rows = ((name, table, no, list(values.items())) for table, no, values in blocks(lines) if not wanted or table in wanted)
+                    while part := list(itertools.islice(rows, ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), schema.types)], schema=schema)
+
+    return file_list(spark, path).select("path").mapInArrow(run, "path string, table string, row_no bigint, values map<string,string>")
 
 
 def table_of(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:

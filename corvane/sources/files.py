@@ -9,15 +9,33 @@ import time
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTS = "collection string, id string, vector array<float>, payload string"
 
 
+def open_path(path: str) -> BinaryIO:
+    """A file of the cluster's store, as a stream that can be searched: nothing is read before it is asked for."""
+    # a path is written as it is, without the escapes of an address
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)$", path, re.S)
+    if m is None or m[1] == "file":
+        return fs.LocalFileSystem().open_input_file(m[3] if m else path)
+    store, _ = fs.FileSystem.from_uri(f"{m[1]}:{m[2] or '//'}/")
+    return store.open_input_file(m[3])
+
+
+def file_list(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of the files below a path, dealt to tasks one by one; their contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.repartition(max(1, min(files.count(), 8 * spark.sparkContext.defaultParallelism)), "path")
+
+
 def read_points(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
     """Points of a JSON-lines dump; blank lines are no points."""
     rows = spark.read.schema(POINTS).json(path).where("id is not null")

@@ -80,6 +80,18 @@ def test_dump(spark, tmp_path):
     assert str(a["date_reponse_jo"]) == "2024-03-04" and got["SENAT-25-QE-7"]["reponse_id"] is None
 
 
+def test_large_dump_and_odd_names(spark, tmp_path):
+    folder = tmp_path / "a b%20é"
+    folder.mkdir()
+    with open(folder / "d 1.sql", "w", encoding="utf-8") as f:
+        f.write("COPY s.t (a, b) FROM stdin;\n")
+        f.writelines(f"{i}\té{i}\n" for i in range(25_000))
+        f.write("\\.\n")
+    got = dump.read_dump(spark, str(folder), ["t"])
+    assert got.count() == 25_000 and got.where("values['a'] = '24999' and values['b'] = 'é24999' and row_no = 25000").count() == 1
+    assert dump.read_dump(spark, str(folder), ["other"]).count() == 0
+
+
 def test_pages(spark):
     html = "<html><style>x</style><script>var y = '<p>';</script><p>Titre : Les ponts</p><p>Auteur : M. Jean DUPONT, sénateur</p><p>Ministère attributaire : Ponts</p><p>Publiée au JO le 02/03/2020</p><p>Texte de la question :</p>\n<p>Pourquoi&nbsp;?</p><p>Réponse publiée le 05/06/2020</p>"
     unanswered = html.replace("Réponse publiée le 05/06/2020", "Date de réponse : 05/06/2020")
