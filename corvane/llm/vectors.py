@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.quantise import Quantiser, unit
@@ -137,25 +137,41 @@ def similar_nodes(nodes: DataFrame, *, k: int, least: float, spill: int = SPILL)
     if model is None:
         return None
     nodes = spread(nodes)
-    # large cells only, so never more rows than a block's share of the nodes
-    sizes = {r["cell"]: r["count"] for r in _cells(nodes, model, spill, False).groupBy("cell").count().where(F.col("count") > BLOCK).collect()}
-    large = {c: -(-n // BLOCK) for c, n in sizes.items()}
+    # how many nodes each large cell has is joined to its rows: there may be any number of them
+    sizes = stage(_cells(nodes, model, spill, False).groupBy("cell").count().where(F.col("count") > BLOCK), "cells")
     placed = _cells(nodes, model, spill, True)
-    if large:
-        parts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)) for kv in large.items() for x in kv]), F.col("cell")), F.lit(1))
-        placed = placed.withColumn("n", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")).cast("int"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    if not sizes.isEmpty():
+        n = F.coalesce(F.ceil(F.col("count") / BLOCK).cast("int"), F.lit(1))
+        placed = placed.join(sizes, "cell", "left").withColumn("n", n)
+        placed = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         placed = placed.select("cell", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "vector")
     else:
         placed = placed.select("cell", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("part"), "node", "vector")
     return placed.groupBy("cell", "i", "j").applyInArrow(lambda t: _neighbours(t, model, k, least), "a bigint, b bigint, cosine double")
 
 
+def _name(vector: Column) -> Column:
+    return F.xxhash64(vector)
+
+
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the name of their vector's node, and the nodes: a vector each. Two hashes make equal: different vectors of one name, of which there are
+    hardly any, get another one from both."""
+    named = rows.withColumn("node", _name(F.col("vector"))).withColumn("check", F.xxhash64("vector", F.lit(1)))
+    group = lambda df: stage(df.groupBy("node").agg(F.first("vector").alias("vector"), F.min("check").alias("lo"), F.max("check").alias("hi")), "nodes")
+    nodes = group(named)
+    shared = nodes.where("lo <> hi").select("node")
+    if not shared.isEmpty():
+        shared = stage(shared.withColumn("shared", F.lit(True)), "shared")
+        named = named.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("shared")
+        nodes = group(named)
+    return named.select("id", "node"), nodes.select("node", "vector")
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, *, dims: int, k: int, least: float, spill: int = SPILL) -> DataFrame:
     """``id_a, id_b`` (the smaller first) where one is among the other's k most similar and their cosine is at least ``least``."""
     spark = df.sparkSession
-    rows = usable(df, key, vector, dims).withColumn("node", F.xxhash64("vector"))
-    nodes = stage(rows.groupBy("node").agg(F.first("vector").alias("vector")), "nodes")
+    rows, nodes = _nodes(usable(df, key, vector, dims))
     members = stage(rows.select("node", "id").distinct(), "members")
     near = similar_nodes(nodes, k=k, least=least, spill=spill)
     if near is None:

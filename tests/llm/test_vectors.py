@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from corvane.llm import vectors
 from corvane.llm.quantise import Quantiser, unit
@@ -53,6 +54,14 @@ def test_blocks_of_large_cells_give_the_same(spark, monkeypatch):
     assert run(spark, rows) == whole
 
 
+def test_different_vectors_of_one_hash_stay_apart(spark, monkeypatch):
+    rows = rows_of(clustered(np.random.default_rng(4), 300))
+    whole = run(spark, rows)
+    monkeypatch.setattr(vectors, "_name", lambda v: F.pmod(F.xxhash64(v), F.lit(7)))
+    got = run(spark, rows)
+    assert len(got & whole) >= 0.97 * len(whole | got)
+
+
 def test_fine_cells_keep_recall(spark, monkeypatch):
     rows = rows_of(clustered(np.random.default_rng(8), 3000))
     monkeypatch.setattr(vectors, "TRAIN", 1024)
