@@ -17,8 +17,9 @@ def parse_day(c: Column) -> Column:
 
 
 def stamp_day(c: Column) -> Column:
-    """The day in the first ten characters, or null."""
-    return F.substring(strip(c), 1, 10).try_cast("date")
+    """The day that the first ten characters write as YYYY-MM-DD, or null."""
+    head = F.substring(strip(c), 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
 
 
 def find_day(c: Column) -> Column:

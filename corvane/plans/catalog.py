@@ -855,6 +855,100 @@ def theme_resolve(t):
     return theme_labels(raw, "id", "themes_raw", t("the_themes")).select("id", F.array_join("themes", "|").alias("themes"))
 
 
+# expressions over whole tables
+
+
+@query(
+    f"""SELECT DISTINCT id, strftime(CASE WHEN regexp_full_match(substr({_trimmed('datejodepot')}, 1, 10), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_strptime(substr({_trimmed('datejodepot')}, 1, 10), '%Y-%m-%d') END, '%Y-%m-%d') AS stamped,
+strftime(try_strptime(regexp_extract(datejodepot, '(\\d{{2}}/\\d{{2}}/\\d{{4}})', 1), '%d/%m/%Y'), '%Y-%m-%d') AS found, length(regexp_replace(txtque, '\\\\[rnt]', ' ', 'g')) AS chars FROM tam_questions"""
+)
+def stamps(t):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    d = F.col("datejodepot")
+    return t("tam_questions").select("id", day(dates.stamp_day(d)).alias("stamped"), day(dates.find_day(d)).alias("found"), F.length(text.unescape(F.col("txtque"))).cast("bigint").alias("chars")).distinct()
+
+
+_NAME = "^([A-ZÀ-Ú][a-zà-ú\\-]+)\\s+([A-ZÀ-Ú\\-]+)$"
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT id, trim(coalesce(prenom, '') || ' ' || upper(coalesce(nom, ''))) AS w, 'Réponse au Lot QE ' || source || ' ' || lpad(CAST(numero_question AS VARCHAR), 7, '0') || '.' AS lot, id AS cell FROM (SELECT id, auteur_prenom AS prenom, auteur_nom AS nom, source, numero_question FROM parsed_questions))
+SELECT id, CASE WHEN w = '' THEN NULL WHEN regexp_matches(w, '{_NAME}') THEN regexp_extract(w, '{_NAME}', 2) ELSE w END AS nom, CASE WHEN regexp_matches(w, '{_NAME}') THEN regexp_extract(w, '{_NAME}', 1) END AS prenom,
+'LOT-' || split_part(id, '-', 1) || '-' || CAST(CAST(split_part(id, '-', 4) AS INTEGER) AS VARCHAR) AS lot, regexp_extract(cell, '(\\d{{1,7}})$', 1) AS digits, split_part(id, '-', 1) AS source FROM a"""
+)
+def labels_read(t):
+    """Authors, lot markers, numbers and sources read out of texts made from each question's fields."""
+    q = t("parsed_questions").select("id", "auteur_prenom", "auteur_nom", "source", "numero_question").distinct()
+    whole = F.nullif(F.trim(F.concat(F.coalesce("auteur_prenom", F.lit("")), F.lit(" "), F.upper(F.coalesce("auteur_nom", F.lit(""))))), F.lit(""))
+    author = labels.author_parts(whole)
+    marker = F.concat(F.lit("Réponse au Lot QE "), "source", F.lit(" "), F.lpad(F.col("numero_question").cast("string"), 7, "0"), F.lit("."))
+    return q.select("id", author["nom"].alias("nom"), author["prenom"].alias("prenom"), labels.lot_of(marker).alias("lot"), labels.digits_of(F.col("id")).alias("digits"), labels.source_of(F.col("id")).alias("source")).distinct()
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)r[eéÉ]ponse{_SPACE}+publi[eéÉ]e') THEN 'REPONDU' WHEN regexp_matches(text, '(?i)retir[eéÉ]e|caduque') THEN 'RETIRE' ELSE 'EN_COURS' END AS state FROM documents")
+def page_states(t):
+    return t("documents").select("doc_id", labels.state_of_page(F.col("text")).alias("state"))
+
+
+@query("SELECT DISTINCT id, texte_question AS body FROM parsed_questions WHERE texte_question IS NOT NULL")
+def without_headings(t):
+    """Each text printed with its number and date, and read without them."""
+    from corvane.sources.fetch import without_heading
+
+    q = t("parsed_questions").where("texte_question is not null").select("id", "numero_question", "texte_question").distinct()
+    printed = F.concat(F.col("numero_question").cast("string"), F.lit(". — 10 mars 2026. — "), F.col("texte_question"))
+    return q.select("id", without_heading(printed).alias("body"))
+
+
+_UUID = "regexp_replace(substr(sha256({0}), 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+@query(f"SELECT raw_id, {_UUID.format('source_file')} AS file_id, {_UUID.format(chr(39).join(['source_file || ', '::', ' || raw_id || ', '::0', '']))} AS chunk_id FROM raw_an_questions WHERE source_file IS NOT NULL")
+def path_ids(t):
+    r = t("raw_an_questions").where("source_file is not null")
+    return r.select("raw_id", ids.path_uuid(F.col("source_file")).alias("file_id"), ids.path_uuid(F.col("source_file"), F.col("raw_id"), F.lit(0)).alias("chunk_id"))
+
+
+@query(f"SELECT DISTINCT id, nullif(concat_ws(' — ', {_trimmed('sous_direction')}, {_trimmed('coalesce(bureau_full, bureau)')}), '') AS label FROM question_bureau_extract")
+def joined_labels(t):
+    return t("question_bureau_extract").select("id", labels.joined_label(F.col("sous_direction"), F.coalesce("bureau_full", "bureau")).alias("label")).distinct()
+
+
+_ACRONYMS = "[" + ", ".join(f"'{d}'" for d in labels.DIRECTIONS) + "]"
+_STEPS = f"""WITH e AS (SELECT DISTINCT id, question_id, source_etape_id, date_debut_etape, concat_ws(' - ', {_ACRONYMS}[(id % 18)::INTEGER + 1], sous_direction, bureau, bureau_full) AS post FROM question_bureau_extract),
+s AS (SELECT *, list_filter(list_transform(string_split_regex(regexp_replace(post, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_SPACE}+-{_SPACE}+'), lambda x: regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda x: x <> '') AS p FROM e),
+k AS (SELECT *, len(p) >= 3 AND list_contains({_ACRONYMS}, p[1]) AS known FROM s)"""
+
+
+def _steps(t) -> DataFrame:
+    """Workflow steps as the source gives them, their posts made from the offices' columns."""
+    e = t("question_bureau_extract").select("id", "question_id", "source_etape_id", "date_debut_etape", "sous_direction", "bureau", "bureau_full").distinct()
+    known = F.array(*[F.lit(d) for d in labels.DIRECTIONS])
+    return e.withColumn("post", F.concat_ws(" - ", F.get(known, (F.col("id") % 18).cast("int")), "sous_direction", "bureau", "bureau_full"))
+
+
+@query(_STEPS + " SELECT id, CASE WHEN known THEN p[1] END AS direction, CASE WHEN known THEN p[2] END AS sous_direction, CASE WHEN known THEN p[3] END AS bureau, CASE WHEN known THEN array_to_string(p[3:], ' - ') END AS bureau_full FROM k")
+def post_parts(t):
+    p = labels.post_parts(F.col("post")).alias("p")
+    return _steps(t).select("id", p).select("id", "p.direction", "p.sous_direction", "p.bureau", "p.bureau_full")
+
+
+@query(
+    _STEPS
+    + """, q AS (SELECT split_part(question_id, '-', 1) || '-' || CASE WHEN date_debut_etape >= DATE '2024-07-18' THEN 17 WHEN date_debut_etape >= DATE '2022-06-22' THEN 16 WHEN date_debut_etape >= DATE '2017-06-21' THEN 15
+  WHEN date_debut_etape >= DATE '2012-06-20' THEN 14 ELSE 13 END || '-QE-' || split_part(question_id, '-', 4) AS question_id, p[1] AS direction_txt, p[3] AS bureau, id AS source_etape_id, date_debut_etape AS d
+  FROM k WHERE known AND question_id IS NOT NULL AND date_debut_etape IS NOT NULL)
+SELECT question_id, direction_txt, arg_max(bureau, {'d': d, 's': source_etape_id}) AS bureau, max({'d': d, 's': source_etape_id}).s AS source_etape_id FROM q GROUP BY question_id, direction_txt"""
+)
+def office_steps(t):
+    """The latest step of each question and direction, from the raw steps."""
+    s = _steps(t).select(
+        "id", F.split_part("question_id", F.lit("-"), F.lit(1)).alias("parlement"), F.split_part("question_id", F.lit("-"), F.lit(4)).alias("numero_question"), F.col("date_debut_etape").alias("date_jo_question"),
+        F.lit("Pour rédaction").alias("type_etape"), F.col("post").alias("poste_etape"), "date_debut_etape",
+    )
+    return groups.office_steps(s).select("question_id", "direction_txt", "bureau", "source_etape_id")
+
+
 # incremental work and logs
 
 
