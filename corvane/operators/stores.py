@@ -178,6 +178,16 @@ def delete_hashes(cache: KeyedStore, hashes: Sequence[str]) -> int:
     return cache.delete(F.col("document_hash").isin(list(dict.fromkeys(hashes)))) if hashes else 0
 
 
+def forget(cache: KeyedStore, entries: DataFrame) -> int:
+    """Removes the cached chunks of a manifest's entries, however many; how many there were."""
+    kept = cache.rows()
+    left = kept.join(entries.select("document_hash").distinct(), "document_hash", "left_anti").select(*kept.columns)
+    before, after = kept.count(), left.count()
+    if after < before:
+        cache.replace(left)
+    return before - after
+
+
 def path_variants(folder: str, base: str | None = None) -> list[str]:
     """The forms in which a folder may stand in a manifest: as typed, without and with a closing slash, and both relative to the base."""
     forms = [folder, folder.rstrip("/"), folder.rstrip("/") + "/"]
@@ -198,13 +208,9 @@ def reset(files: KeyedStore, cache: KeyedStore, folder: str, *, base: str | None
     held = files.rows()
     for form in path_variants(folder, base):
         below = F.col("path").startswith(form)
-        gone = held.where(below).select("document_hash").distinct()
+        gone = held.where(below)
         if gone.isEmpty():
             continue
-        kept = cache.rows()
-        left = kept.join(gone, "document_hash", "left_anti").select(*kept.columns)
-        before, after = kept.count(), left.count()
-        if after < before:
-            cache.replace(left)
-        return files.delete(below), before - after, emptied
+        forgotten = forget(cache, gone)
+        return files.delete(below), forgotten, emptied
     return 0, 0, emptied

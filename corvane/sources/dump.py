@@ -17,6 +17,7 @@ from corvane.functions.ids import plain_number, question_id
 from corvane.functions.labels import state_of_label
 from corvane.functions.text import strip
 from corvane.operators.merge import first_per_key
+from corvane.session import stage
 from corvane.sources.files import file_list, open_path
 
 #: Fixed value: the header of a block.
@@ -76,7 +77,8 @@ def latest_by(df: DataFrame, key: str, row: str = "row_no") -> DataFrame:
 
 
 def senate_questions(rows: DataFrame) -> DataFrame:
-    """Parsed questions of a Senate dump: its four tables joined, written questions from legislature 14 on."""
+    """Parsed questions of a Senate dump: its four tables joined, written questions from legislature 14 on. The dump is read once for all of them."""
+    rows = stage(rows.where(F.col("table").isin("tam_questions", "sortquestion", "tam_reponses", "the")), "dump")
     q = table_of(
         rows, "tam_questions",
         "id natquecod legislature numero sorquecod titre nom prenom codequalite circonscription groupe datejodepot mindepotlib minreplib1 datejorep1 txtque themes".split(),

@@ -20,14 +20,26 @@ from pyspark.sql import functions as F
 POINTS = "collection string, id string, vector array<float>, payload string"
 
 
-def open_path(path: str) -> BinaryIO:
-    """A file of the cluster's store, as a stream that can be searched: nothing is read before it is asked for."""
-    # a path is written as it is, without the escapes of an address
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path and the path in it, which is taken as it is written, without the escapes of an address."""
     m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)$", path, re.S)
     if m is None or m[1] == "file":
-        return fs.LocalFileSystem().open_input_file(m[3] if m else path)
-    store, _ = fs.FileSystem.from_uri(f"{m[1]}:{m[2] or '//'}/")
-    return store.open_input_file(m[3])
+        return fs.LocalFileSystem(), m[3] if m else path
+    return fs.FileSystem.from_uri(f"{m[1]}:{m[2] or '//'}/")[0], m[3]
+
+
+def open_path(path: str) -> BinaryIO:
+    """A file of the cluster's store, as a stream that can be searched: nothing is read before it is asked for."""
+    store, name = _store(path)
+    return store.open_input_file(name)
+
+
+def write_bytes(path: str, content: bytes) -> None:
+    """A file of the cluster's store, with the folders above it."""
+    store, name = _store(path)
+    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(name) as out:
+        out.write(content)
 
 
 def file_list(spark: SparkSession, path: str) -> DataFrame:
