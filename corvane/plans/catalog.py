@@ -678,6 +678,52 @@ def merge_upsert(t):
     return merge.merge(last.select("id", "r.*"), s.where("snapshot_no > 3"), "id", policy, order)
 
 
+@query(
+    """WITH n AS (SELECT DISTINCT id, source, legislature, etat_question, date_publication_jo, page_jo, texte_question, objet, reponse_id, auteur_prenom, auteur_grp_pol, auteur_circonscription, titre_senat, array_to_string(themes, '|') AS themes, auteur_nom FROM parsed_questions)
+SELECT id, CASE WHEN source = 'AN' AND legislature = 16 OR etat_question = 'REPONDU' THEN 'REPONDU' ELSE etat_question END AS etat_question,
+CASE WHEN source = 'AN' THEN coalesce('held', date_publication_jo) ELSE date_publication_jo END AS date_publication_jo, page_jo, CASE WHEN source = 'AN' AND legislature <> 16 THEN 'held' ELSE texte_question END AS texte_question,
+CASE WHEN source = 'AN' THEN coalesce(objet, 'held') ELSE objet END AS objet, CASE WHEN source = 'AN' AND legislature = 15 THEN 'held' ELSE reponse_id END AS reponse_id, CASE WHEN source = 'AN' THEN 'held' ELSE auteur_prenom END AS auteur_prenom,
+auteur_grp_pol, auteur_circonscription, titre_senat, themes, CASE WHEN source = 'AN' THEN NULL ELSE auteur_nom END AS auteur_nom, CASE WHEN source = 'AN' THEN 'updated' ELSE 'inserted' END AS written FROM n"""
+)
+def question_merge(t):
+    """Every policy of a question's columns: rows of one source are held, with some columns filled and others not, and all rows are delivered."""
+    names = [*merge.QUESTION_POLICY, "auteur_nom"]
+    new = t("parsed_questions").select("id", "source", "legislature", *names, "ingested_at")
+    held = {
+        "etat_question": F.when(F.col("legislature") == 16, "REPONDU").otherwise("EN_COURS"), "date_publication_jo": F.lit("held"), "texte_question": F.when(F.col("legislature") == 16, "").otherwise("held"), "objet": F.lit("held"),
+        "reponse_id": F.when(F.col("legislature") == 15, "held"), "auteur_prenom": F.lit("held"),
+    }
+    kinds = dict(new.dtypes)
+    old = new.where("source = 'AN'").select("id", "legislature").distinct().select("id", *[held.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+    merged = merge.merge(old, new, "id", merge.QUESTION_POLICY, ["ingested_at", "page_jo"])
+    return merged.withColumn("themes", F.array_join("themes", "|"))
+
+
+@query("SELECT DISTINCT id FROM parsed_questions WHERE texte_reponse IS NULL AND texte_question IS NOT NULL")
+def work_left(t):
+    """The questions that a run over what isn't analysed yet takes, where those with a reply are."""
+    from corvane.sources.fetch import chosen
+
+    q = t("parsed_questions").select("id", "texte_question", "date_publication_jo", F.when(F.col("texte_reponse").isNotNull(), F.col("ingested_at")).alias("analyzed_at"))
+    return chosen(q, backfill=True).select("id").distinct()
+
+
+@query(
+    _POINTS
+    + """, d AS (SELECT question_id AS qid, min(r.id) AS unit FROM question_bureau_extract e JOIN directions r ON r.nom = e.direction_txt GROUP BY question_id),
+a AS (SELECT m.id, m.v, m.qid, coalesce(d.unit, CAST(m.payload->>'$.legislature' AS INTEGER)) AS unit FROM m LEFT JOIN d USING (qid)),
+s AS (SELECT q.id AS query_id, c.id AS id, list_cosine_similarity(q.v, c.v) AS score FROM a q JOIN a c ON q.id <> c.id WHERE CAST(regexp_extract(q.qid, '(\\d+)$', 1) AS BIGINT) % 20 = 0 AND (q.unit IS NULL OR c.unit = q.unit))
+SELECT query_id, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS k FROM s) WHERE k <= 5"""
+)
+def effective_unit_topk(t):
+    """The nearest points among those of the same unit: the direction a step names, else the legislature; a query without either takes all."""
+    units = t("directions").select(F.col("id").alias("unit"), F.col("nom").alias("direction_txt"))
+    named = t("question_bureau_extract").join(units, "direction_txt").groupBy(F.col("question_id").alias("qid")).agg(F.min("unit").alias("unit"))
+    p = _points(t).select("id", "vector", _qid(), F.get_json_object("payload", "$.legislature").cast("int").alias("leg"), _number("payload").alias("number"))
+    p = p.join(named, "qid", "left").withColumn("klass", F.coalesce("unit", "leg"))
+    return knn.nearest(p, p.where("number % 20 = 0"), "id", "vector", k=5, same=True).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(
     """WITH n AS (SELECT DISTINCT ministre_libelle AS l FROM parsed_questions WHERE ministre_libelle IS NOT NULL AND ministre_libelle NOT IN (SELECT titre_jo FROM ministeres WHERE titre_jo IS NOT NULL))
 SELECT id, titre_jo FROM ministeres UNION ALL SELECT CAST((SELECT max(id) FROM ministeres) + row_number() OVER (ORDER BY l) AS INTEGER), l FROM n"""
