@@ -60,7 +60,7 @@ def read_dump(spark: SparkSession, path: str, tables: list[str] | None = None, o
 
 def table_of(rows: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """One table of a dump with the given columns; one the dump hasn't is null."""
-    return rows.where(F.col("table") == table).select("row_no", *[F.try_element_at("values", F.lit(c)).alias(c) for c in columns])
+    return rows.where(F.col("table") == table).select("path", "row_no", *[F.try_element_at("values", F.lit(c)).alias(c) for c in columns])
 
 
 def theme_labels(raw: DataFrame, key: str, codes: str, themes: DataFrame) -> DataFrame:
@@ -70,9 +70,9 @@ def theme_labels(raw: DataFrame, key: str, codes: str, themes: DataFrame) -> Dat
     return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "thelib"))), lambda x: x["thelib"]).alias("themes"))
 
 
-def latest_by(df: DataFrame, key: str, row: str = "row_no") -> DataFrame:
-    """The last row of a repeated key."""
-    w = Window.partitionBy(key).orderBy(F.desc(row))
+def latest_by(df: DataFrame, key: str, *row: str) -> DataFrame:
+    """The last row of a repeated key, by the last file and the last place in it."""
+    w = Window.partitionBy(key).orderBy(*[F.desc(r) for r in row or ("path", "row_no")])
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
@@ -83,16 +83,17 @@ def senate_questions(rows: DataFrame) -> DataFrame:
         rows, "tam_questions",
         "id natquecod legislature numero sorquecod titre nom prenom codequalite circonscription groupe datejodepot mindepotlib minreplib1 datejorep1 txtque themes".split(),
     )
-    states = latest_by(table_of(rows, "sortquestion", ["sorquecod", "sorquelib"]), "sorquecod").drop("row_no")
-    replies = latest_by(table_of(rows, "tam_reponses", ["idque", "txtrep", "datejorep", "minreplib"]), "idque").drop("row_no")
-    themes = latest_by(table_of(rows, "the", ["thecle", "thelib"]), "thecle").drop("row_no")
+    states = latest_by(table_of(rows, "sortquestion", ["sorquecod", "sorquelib"]), "sorquecod").drop("path", "row_no")
+    replies = latest_by(table_of(rows, "tam_reponses", ["idque", "txtrep", "datejorep", "minreplib"]), "idque").drop("path", "row_no")
+    themes = latest_by(table_of(rows, "the", ["thecle", "thelib"]), "thecle").drop("path", "row_no")
     leg, number = plain_number(F.col("legislature")), plain_number(F.col("numero"))
-    q = q.where(F.trim("natquecod") == "QE").withColumn("leg", leg).withColumn("number", number).where((F.col("leg") >= FIRST_LEGISLATURE) & F.col("number").isNotNull())
-    q = q.join(states, "sorquecod", "left").join(replies, F.col("id") == F.col("idque"), "left").join(theme_labels(q, "row_no", "themes", themes).withColumnRenamed("themes", "theme_labels"), "row_no", "left")
+    q = q.where(F.trim("natquecod") == "QE").withColumn("leg", leg).withColumn("number", number).withColumn("row", F.struct("path", "row_no")).where((F.col("leg") >= FIRST_LEGISLATURE) & F.col("number").isNotNull())
+    q = q.join(states, "sorquecod", "left").join(replies, F.col("id") == F.col("idque"), "left").join(theme_labels(q, "row", "themes", themes).withColumnRenamed("themes", "theme_labels"), "row", "left")
     state = state_of_label(F.col("sorquelib"))
     settled, replied = state == "REPONDU", F.col("idque").isNotNull()
     ident = question_id(F.lit("SENAT"), F.col("leg"), F.lit("QE"), F.col("number"))
     out = q.select(
+        "path",
         "row_no",
         ident.alias("id"),
         F.col("number").alias("numero_question"),
@@ -115,4 +116,4 @@ def senate_questions(rows: DataFrame) -> DataFrame:
         F.when(replied, F.coalesce("minreplib", "minreplib1")).when(settled, F.col("minreplib1")).alias("ministre_reponse_libelle"),
         F.col("theme_labels").alias("themes"),
     )
-    return first_per_key(out, ["id", "row_no"], [F.col("row_no")])
+    return first_per_key(out, ["id", "path", "row_no"], [F.col("row_no")])

@@ -80,6 +80,17 @@ def test_dump(spark, tmp_path):
     assert str(a["date_reponse_jo"]) == "2024-03-04" and got["SENAT-25-QE-7"]["reponse_id"] is None
 
 
+def test_dump_of_several_files(spark, tmp_path):
+    """Places in a file repeat in the next one: themes stay with their own row, and the last file's state counts."""
+    for n, (number, theme) in enumerate((("1", "#2#"), ("2", "#14#"), ("3", "\\N"))):
+        lines = [f"COPY q.tam_questions ({COLUMNS}) FROM stdin;", dump_row("QE", "17", number, number, "9", theme), "\\."]
+        (tmp_path / f"{n}.sql").write_text("\n".join(lines), encoding="utf-8")
+        (tmp_path / f"s{n}.sql").write_text(f"COPY q.sortquestion (sorquecod, sorquelib) FROM stdin;\n9\t{['old', 'older', 'Question retirée'][n]}\n\\.\n", encoding="utf-8")
+    (tmp_path / "t.sql").write_text("COPY q.the (thecle, thelib) FROM stdin;\n2\tLogement\n14\tForêts\n\\.\n", encoding="utf-8")
+    got = {r["numero_question"]: (r["themes"], r["etat_question"]) for r in dump.senate_questions(dump.read_dump(spark, str(tmp_path))).collect()}
+    assert got == {1: (["Logement"], "RETIRE"), 2: (["Forêts"], "RETIRE"), 3: (None, "RETIRE")}
+
+
 def test_large_dump_and_odd_names(spark, tmp_path):
     folder = tmp_path / "a b%20é"
     folder.mkdir()
