@@ -40,7 +40,7 @@ def state_of_label(label: Column) -> Column:
 
 def state_of_page(text: Column) -> Column:
     """The state a page's text speaks of."""
-    return F.when(text.rlike(r"(?iu)r[eé]ponse\s+publi[eé]e"), "REPONDU").when(text.rlike(r"(?iu)retir[eé]e|caduque"), "RETIRE").otherwise("EN_COURS")
+    return F.when(text.rlike(r"(?iuU)r[eé]ponse\s+publi[eé]e"), "REPONDU").when(text.rlike(r"(?iuU)retir[eé]e|caduque"), "RETIRE").otherwise("EN_COURS")
 
 
 def legislature_of(day: Column) -> Column:
@@ -53,7 +53,7 @@ def legislature_of(day: Column) -> Column:
 
 def author_parts(raw: Column) -> Column:
     """``nom, prenom`` of "Prénom NOM"; else the text itself and null."""
-    form = r"^([A-ZÀ-Ú][a-zà-ú\-]+)\s+([A-ZÀ-Ú\-]+)$"
+    form = r"(?U)^([A-ZÀ-Ú][a-zà-ú\-]+)\s+([A-ZÀ-Ú\-]+)$"
     whole = strip(raw)
     fits = whole.rlike(form)
     return F.struct(
@@ -75,9 +75,9 @@ def digits_of(cell: Column) -> Column:
 
 def lot_of(text: Column) -> Column:
     """``LOT-SOURCE-n`` of a lot marker; null without one."""
-    form = r"(?iu)\bLot\s*(?:QE\s+)?(AN|S[EÉ]NAT|SEN)\.?\s*(\d{2,7})\b"
+    form = r"(?iuU)\bLot\s*(?:QE\s+)?(AN|S[EÉ]NAT|SEN)\.?\s*(\d{2,7})\b"
     source = F.when(F.upper(F.regexp_extract(text, form, 1)) == "AN", "AN").otherwise("SENAT")
-    return F.when(text.rlike(form), F.concat(F.lit("LOT-"), source, F.lit("-"), F.regexp_extract(text, form, 2).cast("int").cast("string")))
+    return F.when(text.rlike(form), F.concat(F.lit("LOT-"), source, F.lit("-"), F.regexp_extract(text, form, 2).try_cast("int").cast("string")))
 
 
 def post_segments(post: Column) -> Column:

@@ -48,7 +48,7 @@ def page_text(page: Column) -> Column:
 
 def page_field(text: Column, name: str) -> Column:
     """A labelled field of a page's text, or null."""
-    return blank_to_null(F.regexp_extract(text, "(?iu)" + FIELDS[name], 1))
+    return blank_to_null(F.regexp_extract(text, "(?iuU)" + FIELDS[name], 1))
 
 
 def parse_pages(df: DataFrame, ident: str, page: str) -> DataFrame:

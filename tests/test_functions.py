@@ -51,6 +51,8 @@ def test_labels(spark):
     assert {k: one(spark, k, labels.state_of_label) for k in states} == states
     assert [one(spark, v, labels.legislature_of, "date") for v in (date(2024, 7, 18), date(2024, 7, 17), date(2012, 6, 19), None)] == [17, 16, 13, None]
     assert one(spark, "Jeanne DUPONT", labels.author_parts).asDict() == {"nom": "DUPONT", "prenom": "Jeanne"}
+    assert one(spark, "Réponse\u00a0publiée", labels.state_of_page) == "REPONDU" and one(spark, "retirée", labels.state_of_page) == "RETIRE"
+    assert one(spark, "Lot\u00a0AN 12", labels.lot_of) == "LOT-AN-12"
     assert one(spark, "de la Tour", labels.author_parts).asDict() == {"nom": "de la Tour", "prenom": None}
     assert one(spark, "réponse au Lot QE Sénat 02130.", labels.lot_of) == "LOT-SENAT-2130"
     assert [one(spark, v, labels.digits_of) for v in ("SENAT 127", "12 x", "x")] == ["127", "12", None]
