@@ -10,38 +10,45 @@ words, so this costs a look-up): the sum over all words, and over the run of wor
 the whole text and in a run of it. A word alone is described a little less well than among others, so a chain is out only where it falls ``MARGIN`` bytes short of its cost, or
 can't reach what another chain has gained. The others are described with the whole text.
 
-The dictionaries are fitted on at most ``SAMPLE`` texts of each language, drawn by hash of the id, on the executors; every text is judged.
+The dictionaries are fitted on every text that nothing speaks against: letters, words and successive words are counted over all of them, and a language's
+dictionary is made of those that count for most. Every text is judged.
 
 Defined cases
 * Null, empty and pure ASCII texts are never garbled, but for doubled question marks inside words.
 * A text that holds the replacement character, or a question mark for every byte of a character inside a word, lost characters for good: it is reported with no restored text.
 * A language that is null or has no dictionary is tried with all of them.
 * Texts are judged whole, however long; repeated texts come out once per key.
+* Rows repeated count as often for the dictionaries as they are there.
 * An empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.session import process_cache, spread
 
-#: Texts of a language the dictionary is fitted on, at most, and its size.
-SAMPLE, DICTIONARY = 1500, 112_640
-#: Languages that get a dictionary, the most frequent ones (two-letter codes are fewer), and hash values the samples are drawn by.
-LANGUAGES, SLOTS = 256, 1 << 20
+#: Bytes of a dictionary, and languages that get one, the most frequent ones (two-letter codes are fewer).
+DICTIONARY, LANGUAGES = 112_640, 256
+#: Counts that a task holds before it hands them on to be summed up.
+HELD = 200_000
+#: Words that a dictionary's code lengths are fitted on, about: as often as their counts say, and each once at least.
+WEIGHED = 200_000
+#: A phrase of the dictionary goes on with pieces that count for this share of its first one at least.
+FOLLOWS = 0.1
 #: Bytes that a single-byte chain costs, a run of words in place of the whole text, a multi-byte chain, and each block of
 #: characters, new to the language, that it brings in, and each unusual character that a single-byte chain does.
 CHAIN_COST, RUN_COST, BYTES_COST, BLOCK_COST, LETTER_COST = 2.5, 2.0, 1.0, 10.0, 2.0
@@ -315,7 +322,11 @@ class Restorer:
         return better if saved > 0 else None
 
 
-_SUSPECT = r"[a-zß-ÿ][À-ÖØ-ÞŸŒ‡∞√├┬]|[ÃÂ][\x{80}-\x{BF}]|[\x{80}-\x{9F}\x{FFFD}]|[├┬√Гв][\x{80}-\x{FFFF}]"
+#: What speaks against a text: led by the characters themselves, so that most places are passed by in one step.
+_SUSPECT = re.compile(
+    "[À-ÖØ-ÞŸŒ‡∞√├┬\x80-\x9f\ufffdГв]"
+    "(?:(?<=[a-zß-ÿ][À-ÖØ-ÞŸŒ‡∞√├┬])|(?<=[ÃÂ])[\x80-\xbf]|(?<=[\x80-\x9f\ufffd])|(?<=[├┬√Гв])[\x80-\uffff])"
+)
 
 
 def usual(texts: list[str]) -> tuple[list[str], str]:
@@ -329,45 +340,142 @@ def usual(texts: list[str]) -> tuple[list[str], str]:
     return (kept if len(kept) * 4 >= len(texts) else texts), "".join(sorted(set(texts_with) - rare))
 
 
-def trained(texts: list[str]) -> tuple[bytes, str]:
-    """A zstandard dictionary of a language's sample, and its usual characters."""
-    texts, letters = usual(texts)
+#: Characters of the scripts that set no blanks, words of their own.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+#: A word with the blank before it; longer runs in parts.
+_UNBROKEN = re.compile(f"[{_UNSPACED}]")
+_WORD = re.compile(rf"[{_UNSPACED}]| ?[^\s{_UNSPACED}]{{1,32}}")
+#: Bytes of each of the three last distances, that a dictionary's code lengths end with.
+_DISTANCES = b"\1\0\0\0\4\0\0\0\x08\0\0\0"
+
+
+def pieces(text: str) -> list[str]:
+    """A text's words, and its runs of three words with a character beyond ASCII, which alone a chain puts in."""
+    words = [" " + w for w in text.split()]
+    if max(map(len, words), default=0) > 33 or _UNBROKEN.search(text):
+        words = _WORD.findall("".join(words))
+    return words + [t for a, b, c in zip(words, words[1:], words[2:]) if not (t := a + b + c).isascii()]
+
+
+def phrases(worth: dict[str, int]) -> bytes:
+    """A dictionary's content: the pieces that are worth most, as phrases in which runs of words overlap; the best last, where they are cheapest to name."""
+    words_of = {p: _WORD.findall(p) for p in worth}
+    after, before = defaultdict(list), defaultdict(list)
+    for p, w in words_of.items():
+        if len(w) == 3:
+            after[w[0], w[1]].append(p)
+            before[w[1], w[2]].append(p)
+    used: set[str] = set()
+    out, size = [], 0
+    for p, w in words_of.items():
+        if size >= DICTIONARY:
+            break
+        if p in used:
+            continue
+        used.add(p)
+        phrase, least = list(w), worth[p] * FOLLOWS
+        if len(w) == 3:
+            for known, ends, new, at in ((after, slice(-2, None), -1, lambda: len(phrase)), (before, slice(0, 2), 0, lambda: 0)):
+                while (then := next((x for x in known[tuple(phrase[ends])] if x not in used), None)) and worth[then] >= least:
+                    used.add(then)
+                    phrase.insert(at(), words_of[then][new])
+        used.update(phrase)
+        out.append("".join(phrase))
+        size += len(out[-1].encode("utf-8", "surrogatepass"))
+    return ("".join(reversed(out)) + " ").encode("utf-8", "surrogatepass")[-DICTIONARY:]
+
+
+def trained(counts: list[tuple[str, int]]) -> bytes:
+    """A zstandard dictionary of a language's pieces, those that are worth most first, and how often all its texts have them."""
+    content = phrases({p: n * len(p.encode("utf-8", "surrogatepass")) for p, n in counts})
+    # code lengths are fitted on texts that have the words in proportion to their counts
+    words = [(p, n) for p, n in counts if " " not in p[1:]]
+    total, done, drawn = sum(n for _, n in words), 0, []
+    weighed = min(WEIGHED, total)
+    for p, n in words:
+        drawn += [p] * max(1, (done + n) * weighed // total - done * weighed // total)
+        done += n
+    random.Random(1).shuffle(drawn)
     try:
-        return zstandard.train_dictionary(DICTIONARY, [x.encode("utf-8", "surrogatepass") for x in texts]).as_bytes(), letters
-    except zstandard.ZstdError:  # too few texts to train on: they are the dictionary
-        return "\n".join(texts).encode("utf-8", "surrogatepass")[:DICTIONARY], letters
+        codes = zstandard.train_dictionary(DICTIONARY, ["".join(drawn[i : i + 130]).encode("utf-8", "surrogatepass") for i in range(0, len(drawn), 130)]).as_bytes()
+    except zstandard.ZstdError:  # too few words to fit them on
+        return content
+    codes = codes[: codes.index(_DISTANCES) + len(_DISTANCES)]
+    return codes + content[-(DICTIONARY - len(codes)) :]
+
 
+def tallied(texts: DataFrame, parts: Callable[[str, str], tuple[bool, Iterable[str]]]) -> DataFrame:
+    """``lang, kept, piece, n``: what ``parts`` gives for each language and text that nothing speaks against, counted by task; the empty piece counts the texts."""
+    names = ["lang", "kept", "piece", "n"]
 
-def dictionaries(df: DataFrame, key: str, text: str, lang: str) -> dict[str, tuple[bytes, str]]:
-    """A zstandard dictionary of each language, from a bounded sample of texts that nothing speaks against.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, bool], Counter] = defaultdict(Counter)
+        held = 0
 
-    Samples are brought together and trained on by executors, a language a task; the driver gets ``LANGUAGES`` dictionaries of ``DICTIONARY`` bytes at most.
+        def handed() -> Iterator[pa.RecordBatch]:
+            for (lang, kept), c in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array([kept] * len(c), pa.bool_()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names)
+            counts.clear()
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if _SUSPECT.search(text):
+                    continue
+                kept, found = parts(lang, text)
+                c = counts[lang, kept]
+                held -= len(c)
+                c.update(found)
+                c[""] += 1
+                held += len(c)
+                if held > HELD:
+                    yield from handed()
+                    held = 0
+        yield from handed()
+
+    return texts.mapInArrow(run, "lang string, kept boolean, piece string, n bigint")
+
+
+def dictionaries(df: DataFrame, *, text: str = "text", lang: str = "lang") -> dict[str, tuple[bytes, str]]:
+    """A zstandard dictionary and the usual characters of each language, from all texts that nothing speaks against.
+
+    Tasks count, the counts are summed up, and executors make the dictionaries, a language a task, of the pieces that are worth most; the driver
+    gets ``LANGUAGES`` dictionaries of ``DICTIONARY`` bytes and their code lengths at most.
     """
-    name = F.col(lang).cast("string")
-    counts = df.where(name.isNotNull()).groupBy(name.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    texts = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    texts = spread(texts.where(F.col("lang").isNotNull() & (F.col("text") != "")))
+    texts_with = tallied(texts, lambda _, t: (True, set(t))).groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    by_lang = texts_with.groupBy("lang").agg(F.sum(F.when(F.col("piece") == "", F.col("n"))).alias("texts"), F.collect_list(F.struct("piece", "n")).alias("letters"))
+    usually = F.filter("letters", lambda x: (x["piece"] != "") & ((x["piece"] <= "\x7f") | (x["n"] >= F.col("texts") * F.lit(USUAL))))
+    by_lang = by_lang.orderBy(F.desc("texts"), "lang").limit(LANGUAGES).select("lang", F.array_join(F.array_sort(F.transform(usually, lambda x: x["piece"])), "").alias("letters"))
+    letters = {r["lang"]: r["letters"] for r in by_lang.collect()}
+    if not letters:
         return {}
-    # a threshold on the hash draws each language's texts in the scan: nothing is sorted or brought together but the sample
-    share = {r["lang"]: min(SLOTS, int(SLOTS * 1.3 * SAMPLE / r["count"]) + 64) for r in counts}
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(SLOTS))
-    clean = df.select(name.alias("lang"), F.col(text).cast("string").alias("text"), drawn.alias("h"))
-    clean = clean.where(F.col("lang").isin(*share)).where((F.col("h") < limit) & F.length("text").between(20, 20_000) & ~F.col("text").rlike(_SUSPECT))
-    # rows repeated under one key count once, so a sample stays as large as it is meant to be
-    once = clean.groupBy("lang", "h", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"))
+    rare = {name: re.compile("[^\x00-\x7f" + re.escape(known) + "]") for name, known in letters.items()}
+    counts = tallied(texts.where(F.col("lang").isin(*letters)), lambda name, t: (not rare[name].search(t), pieces(t)))
+    counts = counts.groupBy("lang", "piece").agg(F.sum(F.when(F.col("kept"), F.col("n"))).alias("kept"), F.sum("n").alias("all"))
+    # texts without rare characters, and all of them
+    counts = counts.select("lang", "piece", F.explode(F.array(F.struct(F.lit(True).alias("kept"), F.col("kept").alias("n")), F.struct(F.lit(False).alias("kept"), F.col("all").alias("n")))).alias("v"))
+    counts = counts.select("lang", "piece", "v.kept", "v.n").where((F.col("n") > 0) & ((F.col("piece") == "") | (F.octet_length("piece") > 2)))
+    worth = F.when(F.col("piece") == "", F.lit((1 << 63) - 1)).otherwise(F.col("n") * F.octet_length("piece"))
+    # no more pieces of a kind than the dictionary has bytes
+    kinds = Window.partitionBy("lang", "kept", F.col("piece").rlike(". ")).orderBy("least", "piece")
+    best = counts.withColumn("least", -worth).withColumn("place", F.row_number().over(kinds)).where(F.col("place") <= DICTIONARY)
 
     def fit(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("h").to_pylist(), table.column("text").to_pylist()))
-        dictionary, letters = trained([t for _, t in rows[:SAMPLE]])
-        return pa.table({"lang": table.column("lang")[:1], "dictionary": pa.array([dictionary], pa.binary()), "letters": [letters]})
+        of: dict[bool, list] = {True: [], False: []}
+        for least, piece, kept, n in sorted(zip(*(table.column(c).to_pylist() for c in ("least", "piece", "kept", "n")))):
+            of[kept].append((piece, n))
+        # the empty piece comes first: the number of texts
+        counts = of[bool(of[True]) and of[True][0][1] * 4 >= of[False][0][1]][1:]
+        return pa.table({"lang": table.column("lang")[:1], "dictionary": pa.array([trained(counts)], pa.binary())})
 
-    fitted = once.groupBy("lang").applyInArrow(fit, "lang string, dictionary binary, letters string")
-    return {r["lang"]: (bytes(r["dictionary"]), r["letters"]) for r in fitted.collect()}
+    fitted = best.groupBy("lang").applyInArrow(fit, "lang string, dictionary binary")
+    return {r["lang"]: (bytes(r["dictionary"]), letters[r["lang"]]) for r in fitted.collect()}
 
 
 def restored(df: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``key, restored_md5`` of the garbled texts: the MD5 of the restored text, empty where characters are lost."""
-    known = dictionaries(df, key, text, lang)
+    known = dictionaries(df, text=text, lang=lang)
     src = df.select(F.col(key), F.col(text).cast("string").alias("__text"), F.col(lang).cast("string").alias("__lang"))
     # a text of ASCII without lost characters isn't garbled: it never reaches Python
     src = spread(src.where(F.col("__text").rlike(r"[^\x{00}-\x{7F}]|\?\?")))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from corvane.llm.mojibake import LOST, READ_AS, Restorer, restored, usual
+from corvane.llm.mojibake import LOST, READ_AS, Restorer, dictionaries, phrases, pieces, restored, usual
 
 SUBJECTS = "les écoles rurales;la forêt communale;l'été prolongé;les pêcheurs côtiers;la santé des aînés;le chômage élevé;la sécurité civile;une rénovation énergétique;les crèches associatives;le dépistage précoce".split(";")
 VERBS = "a été renforcée;doit être précisée;sera présentée à l'été;reste très préoccupante;relève de l'État;fut créée dès février;n'a guère évolué;concerne plusieurs départements".split(";")
@@ -119,3 +119,32 @@ def test_rows(spark, sample):
 def test_long_text(machine):
     t = " ".join(text(random.Random(s)) for s in range(200))
     assert machine.restore(misread(t, "utf-8", "cp1252"), "fr") == t
+
+
+def test_dictionaries_of_all_texts(spark):
+    """Letters at either side of the share that makes them usual, in many texts; words of a very long text; keys and partitions say nothing."""
+    n = 3000
+    letters = "éèêëîïôöûüçñ"
+
+    def words(i):
+        # each letter is in 60 of 3000 texts, which is just enough, or in 59
+        return " ".join(f"mot{c}" for k, c in enumerate(letters) if i % 50 == k and not (k % 2 and i == k))
+
+    rows = [(f"la commune {i % 7} du canton {words(i)}", "fr") for i in range(n)]
+    rows.append((" ".join(["la zone humide protégée"] * 1500), "de"))
+    df = spark.createDataFrame(rows, "text string, lang string")
+    found = dictionaries(df)
+    assert {c for c in found["fr"][1] if c > "\x7f"} == set(letters[::2])
+    assert " humide protégée ".encode() in found["de"][0]
+    assert dictionaries(df.repartition(7)) == found
+    keyed = [spark.createDataFrame([(k * i + 1, f"{t} numéro {i}", x) for i, (t, x) in enumerate(rows[:n])], "doc_id bigint, text string, lang string") for k in (1, 77)]
+    assert dictionaries(keyed[0]) == dictionaries(keyed[1])
+
+
+def test_pieces_and_phrases():
+    assert pieces("l'été  fut\nlong") == [" l'été", " fut", " long", " l'été fut long"]
+    assert pieces("a b c") == [" a", " b", " c"] and pieces(" ") == []
+    assert pieces("漢字化")[:3] == ["漢", "字", "化"] and pieces("漢字化")[3:] == ["漢字化"]
+    assert "".join(pieces("x" * 100)) == " " + "x" * 100
+    # runs of words that overlap are one phrase, which holds the words
+    assert phrases({" où en est": 90, " en est là": 80, " est": 5, " ici": 4}) == " ici où en est là ".encode()
